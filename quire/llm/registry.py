@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, quality_rules
+from quire.llm import bpe, chat, quality_rules, secrets, warc
 from quire.llm.common import Query
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_warc": warc.op2_warc,
+        "op3_chat_format": chat.op3_chat_format,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_byte_bpe": bpe.op8_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.oracle()}
+    return {"op2_warc": warc.ORACLE, "op7_quality_rules": quality_rules.oracle()}
