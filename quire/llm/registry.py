@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, chat, quality_model, quality_rules, secrets, toxicity, warc
+from quire.llm import bpe, chat, jaccard, quality_model, quality_rules, secrets, toxicity, warc
 from quire.llm.common import Query
 
 
@@ -11,6 +11,7 @@ def queries() -> dict[str, Query]:
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_warc": warc.op2_warc,
         "op3_chat_format": chat.op3_chat_format,
+        "op4_jaccard_join": jaccard.op4_jaccard_join,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality_model": quality_model.op6_quality_model,
         "op7_quality_rules": quality_rules.op7_quality_rules,
