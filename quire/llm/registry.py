@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, chat, jaccard, quality_model, quality_rules, secrets, toxicity, warc
+from quire.llm import bpe, chat, decontaminate, jaccard, quality_model, quality_rules, secrets, toxicity, warc
 from quire.llm.common import Query
 
 
@@ -16,8 +16,13 @@ def queries() -> dict[str, Query]:
         "op6_quality_model": quality_model.op6_quality_model,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE, "op7_quality_rules": quality_rules.oracle()}
+    return {
+        "op2_warc": warc.ORACLE,
+        "op7_quality_rules": quality_rules.oracle(),
+        "op9_decontaminate": decontaminate.ORACLE,
+    }
