@@ -150,8 +150,9 @@ def encode(
     pattern: str | None = None,
     key: str = "doc_id",
     text: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``key`` and the asked-for ``outputs`` for every row, in a narrow map.
+    """``key``, the columns in ``keep`` and the asked-for ``outputs`` for every row, in a narrow map.
 
     outputs: of ``ids``, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by
     a space), ``decoded`` and ``decoded_sha256`` (both made from the ids).
@@ -161,9 +162,10 @@ def encode(
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pat = pattern or public_tokenizers.PATTERN
-    rows = docs.select(key, text)
-    key_type = rows.schema[0].dataType.simpleString()
-    schema = ", ".join([f"`{key}` {key_type}", *(f"{c} {COLUMNS[c][0]}" for c in outputs)])
+    rows = docs.select(key, text, *keep)
+    kinds = [f.dataType.simpleString() for f in rows.schema]
+    names = [key, *keep]
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in zip(names, kinds[:1] + kinds[2:], strict=True)), *(f"{c} {COLUMNS[c][0]}" for c in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pat)
@@ -184,7 +186,8 @@ def encode(
                     if "decoded_sha256" in got:
                         got["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(v, COLUMNS[o][1]) for o, v in got.items())], names=[key, *got]
+                [batch.column(0), *batch.columns[2:], *(pa.array(v, COLUMNS[o][1]) for o, v in got.items())],
+                names=[*names, *got],
             )
 
     return rows.mapInArrow(run, schema)

@@ -79,11 +79,12 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) per row.
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, kept) per row.
 
     n_hit counts the words inside occurrences of an item's windows; ``items`` are the
-    ids, sorted as strings, of the items with such occurrences. A null or wordless text or
+    ids, sorted as strings, of the items with such occurrences; ``kept`` is a struct of the
+    columns in ``keep`` and is left out without any. A null or wordless text or
     item has no words; a null item id is left out of ``items``, not of the hits; rows
     with one id and different texts are told apart by their texts' hash; repeated rows
     give equal rows; other columns aren't read; an empty benchmark hits nothing. Places
@@ -105,7 +106,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashes = prints.select("hash").distinct()
 
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    carried = [F.struct(*keep).alias("kept")] if keep else []
+    rows = docs.select("doc_id", text.alias("text"), *carried).withColumn("text_hash", F.xxhash64("text"))
     of_words = lambda w: F.concat(winnowed(w), *[whole_grams(w, n) for n in short])
     found = (
         rows.select("doc_id", "text_hash", F.explode(_let(item_words(F.col("text")), of_words)).alias("kept"))
@@ -124,11 +126,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_lines = lines.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     hit = _bounded(lines.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "lines"), n_lines)
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
-    joined = rows.join(hit, same, "left").select("doc_id", "lines", item_words(F.col("text")).alias("w"))
+    joined = rows.join(hit, same, "left").select("doc_id", "lines", item_words(F.col("text")).alias("w"), *keep and ["kept"])
     settled = joined.select(
         "doc_id",
         F.size("w").cast("bigint").alias("n_words"),
         F.when(F.col("lines").isNotNull(), _let(F.col("w"), lambda w: _settle(w, F.col("lines")))).alias("s"),
+        *keep and ["kept"],
     )
     none = F.array().cast(f"array<{dict(benchmark.dtypes)['item_id']}>")
     ids = F.array_sort(F.array_distinct(F.transform(F.coalesce("s.items", none), lambda x: x.cast("string"))))
@@ -137,6 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "n_words",
         F.coalesce(F.size("s.places").cast("bigint"), F.lit(0).cast("bigint")).alias("n_hit"),
         F.filter(ids, lambda x: x.isNotNull()).alias("items"),
+        *keep and ["kept"],
     )
     drop_written(items)
     return out.select(
@@ -147,6 +151,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
         "items",
+        *keep and ["kept"],
     )
 
 

@@ -356,5 +356,25 @@ def _copies(members: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first by doc_id of their component.
+
+    Of rows that share an id the one with the least text stays. Rows without words or
+    without an id stay.
+    """
+    classes = written(join(docs, rule), "classes")
+    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    twice = classes.filter("doc_id is not null").groupBy(F.col("doc_id").alias("twice")).count().filter("count > 1").select("twice")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    left = docs.join(few(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    if twice.isEmpty():
+        return left
+    twice = few(twice)
+    shared = left.join(twice, F.col("doc_id") == F.col("twice"), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", *[c for c in docs.columns if c not in ("doc_id", "text")])])
+    first = shared.withColumn("quire_k", F.row_number().over(order)).filter("quire_k = 1").drop("quire_k")
+    return left.join(twice, F.col("doc_id") == F.col("twice"), "left_anti").unionByName(first)
+
+
 def op4_jaccard_join(spark, sf_dir):
     return join(table(spark, sf_dir, "documents"), Rule(3, 900))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, chat, decontaminate, jaccard, quality_model, quality_rules, secrets, toxicity, warc
+from quire.llm import bpe, chat, decontaminate, jaccard, licenses, quality_model, quality_rules, secrets, toxicity, warc
 from quire.llm.common import Query
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.ORACLE,
         "op7_quality_rules": quality_rules.oracle(),
         "op9_decontaminate": decontaminate.ORACLE,
+        "op10_license_scan": licenses.oracle(),
     }
