@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import new_path, table
+from quire.llm.common import new_path, table, written
 
 END = "\r\n"
 DATE = "2025-01-01T00:00:00Z"
@@ -255,7 +255,7 @@ def assemble(recs: DataFrame) -> DataFrame:
     it names a request that belongs to it. Identifiers are unique, so every join is on a
     near-unique key. Captures without partners have empty arrays; records whose
     identifier is null are captures without partners; partners without a capture are
-    left out.
+    left out. ``recs`` is read several times, so it should be a written table.
     """
     captures = recs.filter("record_type in ('response', 'revisit')")
     others = recs.filter("record_type in ('request', 'metadata')")
@@ -301,7 +301,8 @@ def assemble(recs: DataFrame) -> DataFrame:
 def op2_warc(spark, sf_dir):
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    got = assemble(read_archives(spark, path, blocks=False))
+    recs = written(read_archives(spark, path, blocks=False), "records")
+    got = assemble(recs)
     return got.select(
         "page_id",
         "payload_bytes",
