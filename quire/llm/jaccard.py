@@ -134,7 +134,7 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
             col = lambda x: none if x is None else pa.array(x, pa.int64())
             ids = pa.nulls(len(ids), id_type) if token is not None else ids
             return pa.RecordBatch.from_arrays(
-                [ids, col(n), col(s1), col(s2), col(token), col(count), pa.array([token is None] * len(ids))],
+                [ids, col(n), col(s1), col(s2), col(token), col(count), pa.array([token is None] * len(ids), pa.bool_())],
                 names=["doc_id", "n", "s1", "s2", "token", "count", "is_doc"],
             )
 
