@@ -37,9 +37,9 @@ from quire.llm.components import components
 #: A shingle counts as frequent if so many of the documents of one chunk have it; a chunk
 #: is about so many shingles. The table of frequent shingles keeps so many at most; which
 #: shingles it has changes the order of tokens, and so the speed, but never the result.
-CHUNK_COUNT = 8
-CHUNK_SHINGLES = 1 << 20
-FREQUENT = 200_000
+CHUNK_COUNT = 3
+CHUNK_SHINGLES = 1 << 22
+FREQUENT = 1_000_000
 #: Ids up to this many are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -171,7 +171,7 @@ def _orders(survey: DataFrame) -> Orders:
         .toPandas()
     )
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
-    classes = np.minimum(63, np.floor(np.log2(np.maximum(top["count"].to_numpy(float), 1)))).astype(np.uint64)
+    classes = np.clip(np.floor(2 * np.log2(np.maximum(top["count"].to_numpy(float), 2))), 1, 63).astype(np.uint64)
     order = np.argsort(tokens)
     return Orders(tokens[order], classes[order])
 
@@ -235,26 +235,46 @@ def _posting_lists(reps: DataFrame, rule: Rule) -> DataFrame:
     return rare.unionByName(often.join(lists.select("key", "hub"), "key").select("key", "id", "n", "pos", "hub"))
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids`` to be broadcast if a count shows that there are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("pair_id")).distinct()
+
+
 def _filtered(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) whose prefixes overlap enough under every order."""
-    side = lambda x: reps.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "k1", "k2", "k3")])
-    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-    slack = F.greatest(F.col("a_n") - F.size("a_k1"), F.col("b_n") - F.size("b_k1"))
+    """Pairs (a, b) whose prefixes overlap enough under every order.
+
+    The first order's filter comes first, and what passes it meets the others'; only the
+    prefixes of documents that are still in question enter a join.
+    """
+    slack = F.greatest(F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p"))
     least = F.greatest(_alpha(F.col("a_n"), F.col("b_n"), rule) - slack, F.lit(1))
-    enough = F.size(F.array_intersect("a_k1", "b_k1")) >= least
-    for k in ("k2", "k3"):
+
+    def enough(k: str) -> Column:
         # a cut key can stand for two tokens of a prefix; what it hides is allowed for
-        lost = F.greatest(F.size("a_k1") - F.size(f"a_{k}"), F.size("b_k1") - F.size(f"b_{k}"))
-        enough = enough & (F.size(F.array_intersect(f"a_{k}", f"b_{k}")) >= least - lost)
-    return both.filter(enough).select("a", "b")
+        lost = F.greatest(F.col("a_p") - F.size(f"a_{k}"), F.col("b_p") - F.size(f"b_{k}"))
+        return F.size(F.array_intersect(f"a_{k}", f"b_{k}")) >= least - lost
+
+    for keys in (("k1",), ("k2", "k3")):
+        pairs = written(pairs, "pairs")
+        few = reps.join(_few(_ids(pairs)), F.col("id") == F.col("pair_id"), "left_semi")
+        few = written(few.select("id", "n", F.size("k1").alias("p"), *keys), "picked")
+        a, b = (few.select(*[F.col(c).alias(f"{x}_{c}") for c in few.columns]) for x in "ab")
+        both = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
+        for k in keys:
+            both = both.filter(enough(k))
+        pairs = both.select("a", "b")
+    return pairs
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (u, v) whose whole texts are linked. ``pairs`` must be written."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, F.col("doc_id") == F.col("id")).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.join(_few(_ids(pairs)), F.col("doc_id") == F.col("pair_id")).select(
+        F.col("pair_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")
+    )
     texts = written(texts, "texts")
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
@@ -296,10 +316,8 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     groups = (
         members.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     )
-    nodes = groups.select("rep").distinct()
-    reps = written(
-        _prefixes(rows, rule, orders).join(nodes, F.col("id") == F.col("rep")).drop("rep"), "prefixes"
-    )
+    copies = written(_copies(members, groups), "copies")
+    reps = written(_first_ones(rows, copies, groups, rule, orders), "prefixes")
     lists = written(_posting_lists(reps, rule), "lists")
 
     own, hub = (F.col("n"), F.col("pos")), (F.col("hub.n"), F.col("hub.pos"))
@@ -308,9 +326,9 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     )
     tried = written(_filtered(stars.distinct(), reps, rule), "stars")
     star_links = _verified(tried, rows, rule)
-    labels = written(components(star_links.unionByName(_copies(members, groups))), "labels")
+    labels = written(components(star_links.unionByName(copies)), "labels")
 
-    placed = lists.drop("hub").join(labels, F.col("id") == F.col("node"), "left").select(
+    placed = lists.drop("hub").join(_few(labels), F.col("id") == F.col("node"), "left").select(
         "key", "id", "n", "pos", F.coalesce("component", "id").alias("label")
     )
     open_keys = (
@@ -346,6 +364,15 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def _first_ones(docs: DataFrame, copies: DataFrame, groups: DataFrame, rule: Rule, orders: Orders) -> DataFrame:
+    """Prefixes of the documents that are the first of an equal set. Where few aren't, they are
+    left out of the texts' scan; else the prefixes meet the first ones' ids in a join."""
+    gone = copies.select(F.col("u").alias("gone")).distinct().join(groups, F.col("gone") == F.col("rep"), "left_anti")
+    if gone.count() <= BROADCAST_IDS:
+        return _prefixes(docs.join(F.broadcast(gone), F.col("doc_id") == F.col("gone"), "left_anti"), rule, orders)
+    return _prefixes(docs, rule, orders).join(groups.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi")
+
+
 def _copies(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Links (u, v) of documents with the first one of an equal set."""
     return (
@@ -365,11 +392,10 @@ def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     classes = written(join(docs, rule), "classes")
     gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     twice = classes.filter("doc_id is not null").groupBy(F.col("doc_id").alias("twice")).count().filter("count > 1").select("twice")
-    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    left = docs.join(few(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    left = docs.join(_few(gone), F.col("doc_id") == F.col("gone"), "left_anti")
     if twice.isEmpty():
         return left
-    twice = few(twice)
+    twice = _few(twice)
     shared = left.join(twice, F.col("doc_id") == F.col("twice"), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", *[c for c in docs.columns if c not in ("doc_id", "text")])])
     first = shared.withColumn("quire_k", F.row_number().over(order)).filter("quire_k = 1").drop("quire_k")
