@@ -1,0 +1 @@
+"""Column functions: geometry, text, fonts, section and reference patterns."""

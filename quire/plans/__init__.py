@@ -1,0 +1 @@
+"""Whole plans: the pipeline, the synthetic adapter, and the registered queries."""
