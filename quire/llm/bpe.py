@@ -16,8 +16,9 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
-import pyarrow as pa
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -27,6 +28,8 @@ NONE = 1 << 40
 #: Entries of a worker's table of encoded matches, and the longest match kept.
 CACHE_ENTRIES = 400_000
 CACHE_BYTES = 64
+#: Tokens after which a worker hands on what it has.
+BATCH_TOKENS = 1 << 20
 
 COLUMNS = {
     "ids": ("array<int>", pa.list_(pa.int32())),
@@ -87,6 +90,7 @@ class Codec:
         self.decimal = {b: str(b) for b in self.bytes_of}
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, list[int]] = {}
+        self.most = CACHE_ENTRIES
 
     def encode_match(self, piece: bytes) -> list[int]:
         ranks = self.ranks
@@ -124,7 +128,7 @@ class Codec:
                 piece = match.encode("utf-8")
                 known = self.encode_match(piece)
                 if len(piece) <= CACHE_BYTES:
-                    if len(cache) >= CACHE_ENTRIES:
+                    if len(cache) >= self.most:
                         cache.clear()
                     cache[match] = known
             ids += known
@@ -151,12 +155,14 @@ def encode(
     key: str = "doc_id",
     text: str = "text",
     keep: tuple[str, ...] = (),
+    cache_entries: int = CACHE_ENTRIES,
 ) -> DataFrame:
     """``key``, the columns in ``keep`` and the asked-for ``outputs`` for every row, in a narrow map.
 
     outputs: of ``ids``, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by
     a space), ``decoded`` and ``decoded_sha256`` (both made from the ids).
     vocabulary: a file of base64 token and rank a line, present on every executor.
+    cache_entries: encoded matches that a worker remembers, about 250 bytes each.
     A null text counts as empty, which has no tokens; a null key stays null; other
     columns are not read; repeated rows give repeated rows; no rows give none.
     """
@@ -169,12 +175,23 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pat)
+        c.most = cache_entries
+
+        def made(batch: pa.RecordBatch, start: int, got: dict[str, list]) -> pa.RecordBatch:
+            part = batch.slice(start, len(next(iter(got.values()))))
+            return pa.RecordBatch.from_arrays(
+                [part.column(0), *part.columns[2:], *(pa.array(v, COLUMNS[o][1]) for o, v in got.items())],
+                names=[*names, *got],
+            )
+
         for batch in batches:
+            start, tokens = 0, 0
             got: dict[str, list] = {o: [] for o in outputs}
-            for value in batch.column(1):
+            for i, value in enumerate(batch.column(1)):
                 ids = c.encode(value.as_py() or "")
+                tokens += len(ids)
                 if "ids" in got:
-                    got["ids"].append(ids)
+                    got["ids"].append(np.array(ids, np.int32))
                 if "n_tokens" in got:
                     got["n_tokens"].append(len(ids))
                 if "ids_sha256" in got:
@@ -185,10 +202,11 @@ def encode(
                         got["decoded"].append(back)
                     if "decoded_sha256" in got:
                         got["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], *(pa.array(v, COLUMNS[o][1]) for o, v in got.items())],
-                names=[*names, *got],
-            )
+                if tokens >= BATCH_TOKENS:
+                    yield made(batch, start, got)
+                    start, tokens, got = i + 1, 0, {o: [] for o in outputs}
+            if start < batch.num_rows:
+                yield made(batch, start, got)
 
     return rows.mapInArrow(run, schema)
 

@@ -125,9 +125,13 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
         id_type = pa.int64()
 
         def frequent() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64),) * 2
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()  # in place, as the chunk is a worker's largest array
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            counts = np.diff(first, append=len(tokens))
             often = counts >= CHUNK_COUNT
-            return batch_of([None] * int(often.sum()), token=tokens[often].view(np.int64), count=counts[often])
+            return batch_of([None] * int(often.sum()), token=tokens[first[often]].view(np.int64), count=counts[often])
 
         def batch_of(ids, n=None, s1=None, s2=None, token=None, count=None) -> pa.RecordBatch:
             none = pa.nulls(len(ids), pa.int64())
@@ -152,7 +156,7 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
                     size += len(s)
                 if size >= CHUNK_SHINGLES:
                     yield frequent()
-                    held, size = [], 0
+                    size = 0
             yield batch_of(batch.column(0), n, s1, s2)
         if held:
             yield frequent()

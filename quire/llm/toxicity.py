@@ -164,7 +164,7 @@ class Finding:
 class Finder:
     """Findings of a text; remembers a bounded number of words."""
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 100_000
 
     def __init__(self, terms: tuple[str, ...], stems: tuple[str, ...], ordinary: frozenset[str] = frozenset()):
         self.matcher, self.ordinary = Matcher(terms, stems), ordinary
