@@ -237,6 +237,6 @@ def human_size(n: Column) -> Column:
     mb = n / F.lit(1024.0 * 1024.0)
     return (
         F.when(n.isNull() | (n == 0), "—")
-        .when(mb >= 1, F.format_string("%.1f MB", mb))
-        .otherwise(F.format_string("%.0f KB", n / F.lit(1024.0)))
+        .when(mb >= 1, F.format_string("%.1f MB", F.bround(mb, 1)))
+        .otherwise(F.format_string("%d KB", F.bround(n / F.lit(1024.0), 0).cast("bigint")))
     )
