@@ -19,7 +19,7 @@ from quire.operators import blocks as B
 from quire.operators import columns as O
 from quire.operators import kernels as K
 from quire.operators.blocks import PAGE
-from quire.sources.shared import written
+from quire.sources.shared import ship, written
 
 _BLOCK = (
     "array<struct<image:boolean,x0:double,y0:double,x1:double,y1:double,text:string,font_size:double,"
@@ -68,6 +68,7 @@ def page_rows(spans: DataFrame, images: DataFrame, drawings: DataFrame, pages: D
 
 def page_blocks(rows: DataFrame) -> DataFrame:
     """(paper_id, page, pos, and a block's columns): what the kernels make of each page."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,10 +1,12 @@
-"""Tables that several steps read, written once in the folder that all executors share."""
+"""What driver and executors share: tables that several steps read, and the package itself."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,5 +48,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the shared folder: steps that read it don't run what stands above
     again, nor does a lost executor make them."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Removes a table made by ``written`` that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once per application, so that their workers can
+    import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="quire-code-")) / "quire-code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted((root / "quire").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    sc.addPyFile(str(archive))
