@@ -1,98 +1,26 @@
-"""Shared plumbing: reading tables, cutting lineage in the shared folder, word patterns."""
+"""Shared plumbing: reading tables and word patterns."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.shared import drop_written, new_path, ship, written
+
+__all__ = ["SPACES", "WORD_BREAK", "Query", "ascii_lower", "drop_written", "new_path", "table", "words", "written"]
+
 #: Characters that separate words in most contracts: space, \t, \n, \v, \f, \r.
 SPACES = "\x20\t\n\x0b\x0c\r"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once per application, so that their workers can
-    import it wherever they run."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    root = Path(__file__).resolve().parents[2]
-    archive = Path(tempfile.mkdtemp(prefix="quire-code-")) / "quire-code.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for path in sorted((root / "quire").rglob("*.py")):
-            z.write(path, path.relative_to(root))
-    sc.addPyFile(str(archive))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it. Where that is unset a temporary folder is
-    made, which is only sound while everything runs in one process, so any other
-    master is refused.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="quire-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-            remove(spark, path)
-    except Exception:  # the session is gone; the folder's owner clears it
-        return
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, cleared when the driver ends."""
-    path = f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}"
-    atexit.register(_remove_at_exit, spark, path)
-    return path
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage is cut there, so a
-    lost executor costs a reread and not the stages above."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Removes a table made by ``written`` that nothing reads any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, path)
-
-
 def words(text, break_pattern: str = WORD_BREAK):
     """The words of a text column; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), break_pattern), lambda w: w != "")
