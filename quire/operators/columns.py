@@ -16,44 +16,49 @@ EQUATION_RATIO = 0.5
 
 
 def coverage(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """(paper_id, page, width, bin, height): how much block height stands on each point of
-    a page's width.
+    """(paper_id, page, width, bins, start, end, height): how much block height stands on each
+    stretch of a page's width, in whole points.
 
     A block adds its height where it begins and takes it away behind its end, so it makes
-    two rows however wide it is; running sums give the profile.
+    two rows however wide it is; running sums give the profile between those places.
     """
     width = F.greatest(F.floor("width").cast("int"), F.lit(1))
-    bins = pages.select(*PAGE, "width", width.alias("bins"))
+    b = blocks.join(pages.select(*PAGE, "width", width.alias("bins")), PAGE)
     start = F.greatest(F.col("x0").cast("int"), F.lit(0))
     end = F.least(F.col("x1").cast("int") + 1, F.col("bins"))
     h = F.greatest(F.col("y1") - F.col("y0"), F.lit(0.0))
+    place = lambda at, d: F.struct(at.alias("at"), d.alias("d"))
+    zero = F.lit(0.0)
+    own = F.array(place(F.lit(0), zero), place(start, F.when(start < end, h).otherwise(zero)), place(end, F.when(start < end, -h).otherwise(zero)))
     steps = (
-        blocks.join(bins, PAGE)
-        .select(*PAGE, start.alias("s"), end.alias("e"), h.alias("h"))
-        .filter("s < e")
-        .select(*PAGE, F.explode(F.array(F.struct(F.col("s").alias("bin"), F.col("h").alias("d")), F.struct(F.col("e").alias("bin"), (-F.col("h")).alias("d")))).alias("x"))
-        .groupBy(*PAGE, F.col("x.bin").alias("bin"))
+        b.select(*PAGE, "width", "bins", F.explode(own).alias("x"))
+        .groupBy(*PAGE, "width", "bins", F.col("x.at").alias("start"))
         .agg(F.sum("x.d").alias("d"))
+        .filter("start < bins")
     )
-    all_bins = bins.join(blocks.select(*PAGE).distinct(), PAGE, "left_semi").select(*PAGE, "width", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
-    upto = Window.partitionBy(*PAGE).orderBy("bin")
-    return all_bins.join(steps, [*PAGE, "bin"], "left").select(
-        *PAGE, "width", "bin", F.round(F.sum(F.coalesce("d", F.lit(0.0))).over(upto), 6).alias("height")
+    along = Window.partitionBy(*PAGE).orderBy("start")
+    return steps.select(
+        *PAGE,
+        "width",
+        "bins",
+        "start",
+        F.coalesce(F.lead("start").over(along), F.col("bins")).alias("end"),
+        F.round(F.sum("d").over(along), 6).alias("height"),
     )
 
 
 def low_runs(profile: DataFrame, ratio: float) -> DataFrame:
-    """(paper_id, page, start, end) of interior runs at or below ``ratio`` of the peak that
-    are wide enough: islands of bins that are low, numbered by bin minus rank."""
+    """(paper_id, page, start, end) of interior runs at or below ``ratio`` of the peak that are
+    wide enough. Stretches follow one another without gaps, so those between two high ones
+    are one run."""
     page = Window.partitionBy(*PAGE)
-    low = profile.withColumn("peak", F.max("height").over(page)).withColumn("last", F.max("bin").over(page))
-    low = low.filter((F.col("peak") > 0) & (F.col("height") <= F.col("peak") * ratio))
-    island = F.col("bin") - F.row_number().over(page.orderBy("bin"))
+    peak = profile.withColumn("peak", F.max("height").over(page)).filter("peak > 0")
+    low = peak.withColumn("low", F.col("height") <= F.col("peak") * ratio)
+    runs = low.withColumn("run", F.sum((~F.col("low")).cast("int")).over(page.orderBy("start"))).filter("low")
     return (
-        low.withColumn("island", island)
-        .groupBy(*PAGE, "island")
-        .agg(F.min("bin").alias("start"), (F.max("bin") + 1).alias("end"), F.first("width").alias("width"), F.first("last").alias("last"))
-        .filter((F.col("start") > 0) & (F.col("end") <= F.col("last")) & (F.col("end") - F.col("start") >= F.col("width") * MIN_GUTTER_RATIO))
+        runs.groupBy(*PAGE, "width", "bins", "run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .filter((F.col("start") > 0) & (F.col("end") < F.col("bins")) & (F.col("end") - F.col("start") >= F.col("width") * MIN_GUTTER_RATIO))
         .select(*PAGE, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
     )
 
