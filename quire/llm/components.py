@@ -39,13 +39,14 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked with the node's least neighbour or itself."""
     both = links.select("u", "v").union(links.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+    least = written(least, "least")  # a plain table, so that a hub's links can be split in the join
     return both.filter("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked with the least of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "least")
     moved = down.join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select(F.col("n").alias("u"), F.col("m").alias("v"))
     return moved.union(own).filter("u <> v").distinct()

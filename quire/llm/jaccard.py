@@ -317,8 +317,9 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     survey = written(_survey(rows, rule), "survey")
     orders = _orders(survey)
     members = survey.filter("is_doc").select("doc_id", "n", "s1", "s2")
-    groups = (
-        members.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # written, so that the joins with it shuffle plainly and a hot signature can be split
+    groups = written(
+        members.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "groups"
     )
     copies = written(_copies(members, groups), "copies")
     reps = written(_first_ones(rows, copies, groups, rule, orders), "prefixes")
