@@ -138,6 +138,53 @@ def _row(b: K.Block) -> dict:
     }
 
 
+_BOXES = "array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>"
+
+
+def _per_page(rows: DataFrame, make) -> DataFrame:
+    """(paper_id, page, x0, y0, x1, y1, text) of what ``make(row)`` gives for each page row."""
+    ship(rows.sparkSession)
+    kind = pa.struct([*((c, pa.float64()) for c in ("x0", "y0", "x1", "y1")), ("text", pa.string())])
+    schema = pa.schema([("paper_id", pa.string()), ("page", pa.int32()), ("made", pa.list_(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                made = [dict(zip(("x0", "y0", "x1", "y1", "text"), (*box, text), strict=True)) for box, text in make(row)]
+                out.append({"paper_id": row["paper_id"], "page": row["page"], "made": made})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    mapped = rows.mapInArrow(run, f"paper_id string, page int, made {_BOXES}")
+    return mapped.select(*PAGE, F.explode("made").alias("b")).select(*PAGE, "b.*")
+
+
+def figure_boxes(drawings: DataFrame, texts: DataFrame) -> DataFrame:
+    """(paper_id, page, x0, y0, x1, y1) of the figures that a page's paths make."""
+    box = ("x0", "y0", "x1", "y1")
+    d = drawings.filter(~F.coalesce("is_infinite", F.lit(False))).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("draw_no", *box))).alias("drawings"))
+    t = texts.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*box))).alias("texts"))
+
+    def make(row: dict) -> list:
+        boxes = lambda name: [tuple(x[c] for c in box) for x in row[name] or ()]
+        return [(b, None) for b in K.vector_figures(boxes("drawings"), boxes("texts"))]
+
+    return _per_page(d.join(t, PAGE, "left").select(*PAGE, "drawings", "texts"), make).drop("text")
+
+
+def equation_boxes(blocks: DataFrame) -> DataFrame:
+    """(paper_id, page, x0, y0, x1, y1, text) of a page's texts once formulas are joined.
+    blocks: text blocks with ``pos`` and ``math_ratio``."""
+    one = F.struct("pos", "x0", "y0", "x1", "y1", "text", "math_ratio")
+    rows = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(one)).alias("blocks"))
+
+    def make(row: dict) -> list:
+        own = [K.Block(False, (b["x0"], b["y0"], b["x1"], b["y1"]), b["text"], math_ratio=b["math_ratio"]) for b in row["blocks"]]
+        return [(b.box, b.text) for b in K.merge_equations(own)]
+
+    return _per_page(rows, make)
+
+
 def to_regions(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """The region table (without sections) of arranged blocks, which are read for sizes, for
     gutters and for themselves, and so are written first."""

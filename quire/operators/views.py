@@ -189,3 +189,22 @@ def paper_cards(papers: DataFrame, pages: DataFrame, chunks: DataFrame, artifact
 def file_rows(papers: DataFrame) -> DataFrame:
     """(paper_id, source_filename, size): a file's name and readable size."""
     return papers.select("paper_id", "source_filename", X.human_size(F.col("source_bytes")).alias("size"))
+
+
+def page_lookup(images: DataFrame, paper_id: str, page: int) -> DataFrame:
+    """(status, image_path) of one page's image: 200, or 404 if there is none."""
+    found = images.filter((F.col("paper_id") == paper_id) & (F.col("page_index") == page)).select("image_path")
+    return _looked_up(found)
+
+
+def artifact_lookup(artifacts: DataFrame, paper_id: str, place: int) -> DataFrame:
+    """(status, image_path) of the artifact at a place in its paper's list: 200, or 404 if the
+    place is past the end or the artifact wasn't cropped."""
+    wanted = F.concat_ws("::", F.lit(paper_id), F.lit("artifact"), F.lit(str(place)))
+    found = artifacts.filter((F.col("paper_id") == paper_id) & (F.col("artifact_id") == wanted)).select("image_path")
+    return _looked_up(found)
+
+
+def _looked_up(found: DataFrame) -> DataFrame:
+    path = F.max("image_path")
+    return found.agg(F.when(path.isNotNull(), 200).otherwise(404).alias("status"), path.alias("image_path"))

@@ -206,6 +206,8 @@ def oracle_sql() -> dict[str, str]:
         "absorb_text": _with("SELECT paper_id, page, bx.pos, sha1(coalesce(a, '')) AS absorbed_sha1, CAST(length(coalesce(a, '')) AS INTEGER) AS chars FROM bx LEFT JOIN (SELECT paper_id, page, host AS pos, string_agg(text, chr(10) ORDER BY pos) AS a FROM ab GROUP BY ALL) USING (paper_id, page, pos)", **absorbed),
         "absorb_rest": _with("SELECT paper_id, page, pos FROM tx WHERE NOT EXISTS (SELECT 1 FROM ab WHERE ab.paper_id = tx.paper_id AND ab.page = tx.page AND ab.pos = tx.pos)", **absorbed),
         "caption_kinds": _with("SELECT paper_id, page, pos, kind FROM ck"),
+        "figure_merge": _with("SELECT paper_id, page, x0 + 10 AS x0, 560.0::DOUBLE AS y0, x0 + 120 AS x1, 630.0::DOUBLE AS y1 FROM fg"),
+        "equation_merge": _with("SELECT paper_id, page, x0, y0, CASE WHEN i % 7 = 3 THEN x0 + 52 ELSE x1 END AS x1, y1, sha1(CASE WHEN i % 7 = 3 THEN 'x' || chr(10) || '+' || chr(10) || 'y' ELSE text END) AS text_sha1 FROM tx"),
         "section_carry": _with("SELECT paper_id, order_index, section, section_title_raw FROM rg", **_ALL),
         "chunks": _with("SELECT chunk_id, section, section_title_raw, sha1(text) AS text_sha1, page_start, page_end, CASE WHEN boxed THEN x0 END AS x0, CASE WHEN boxed THEN y0 END AS y0, CASE WHEN boxed THEN x1 END AS x1, CASE WHEN boxed THEN y1 END AS y1, order_index, token_count FROM ch", **_ALL),
         "caption_pairs": _with("SELECT region_id AS artifact_region, sha1(caption) AS caption_sha1 FROM cp WHERE rank = 1", **_ALL),

@@ -215,6 +215,16 @@ def caption_kinds(spark, sf_dir):
     return layout.caption_kinds(synthetic.text_rows(docs), synthetic.figure_rows(docs))
 
 
+def figure_merge(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return layout.figure_boxes(synthetic.bars(docs), synthetic.text_rows(docs))
+
+
+def equation_merge(spark, sf_dir):
+    made = layout.equation_boxes(synthetic.formulas(_documents(spark, sf_dir)))
+    return made.select("paper_id", "page", *BOX, F.sha1("text").alias("text_sha1"))
+
+
 def layout_regions(spark, sf_dir):
     """The whole layout of decoded pages: figures, tables, formulas, columns, order, kinds."""
     s = synthetic.Synthetic(_documents(spark, sf_dir))
@@ -396,7 +406,7 @@ QUERIES = {
     for f in (
         baseline_windows, baseline_pages, midword_share, window_sweep, paper_ids, clean_titles, safe_names, file_sizes,
         heading_class, coverage_gutters, reading_order, table_rules, image_merge, body_size, font_profile, font_totals,
-        block_measures, page_furniture, classify_blocks, absorb_text, absorb_rest, caption_kinds, layout_regions,
+        block_measures, page_furniture, classify_blocks, absorb_text, absorb_rest, caption_kinds, figure_merge, equation_merge, layout_regions,
         section_carry, paper_titles, chunks, caption_pairs, artifacts, crop_boxes, page_images, refs, links,
         page_checks, paper_report, corpus_totals, run_scoreboard,
         region_tally, busiest_pages, section_run, chunk_stats, chunk_preview, artifact_summary, link_stats, kwic,

@@ -148,6 +148,29 @@ def drawings(documents: DataFrame) -> DataFrame:
     return rules.unionByName(axes).withColumn("is_infinite", F.lit(False))
 
 
+def bars(documents: DataFrame) -> DataFrame:
+    """Decoded drawings: four bars inside each figure's box."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
+    rows = figure_rows(documents).select("paper_id", "page", "pos", "x0", k)
+    return rows.select(
+        "paper_id", "page", (F.col("pos") * 10 + F.col("k")).alias("draw_no"), (F.col("x0") + 10 + F.col("k") * 30).alias("x0"), F.lit(560.0).alias("y0"),
+        (F.col("x0") + 30 + F.col("k") * 30).alias("x1"), F.lit(630.0).alias("y1"), F.lit(False).alias("is_infinite"),
+    )
+
+
+def formulas(documents: DataFrame) -> DataFrame:
+    """Text blocks: every seventh line as three fragments of a formula, other lines as they are."""
+    rows = text_rows(documents)
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(("x", "+", "y"))]))
+    maths = rows.filter("i % 7 = 3").withColumn("f", parts)
+    maths = maths.select(
+        "paper_id", "page", (F.col("pos") * 10 + F.col("f.k")).alias("pos"), (F.col("x0") + F.col("f.k") * 20).alias("x0"), "y0",
+        (F.col("x0") + F.col("f.k") * 20 + 12).alias("x1"), "y1", F.col("f.t").alias("text"), F.lit(1.0).alias("math_ratio"),
+    )
+    plain = rows.filter("i % 7 <> 3").select("paper_id", "page", (F.col("pos") * 10).alias("pos"), "x0", "y0", "x1", "y1", "text", F.lit(0.0).alias("math_ratio"))
+    return maths.unionByName(plain)
+
+
 class Synthetic:
     """All decoded tables of ``documents``, for ``pipeline.run_pipeline``."""
 

@@ -147,3 +147,13 @@ def test_cards_list_damaged_records(spark):
     assert {(c.paper_id, c.damaged) for c in cards} == {("a", False), ("b", True)}
     links = views.gallery(spark.createDataFrame([("Linked Lists", 0, "x", 1, 1, 200)], S.PAGES)).first()
     assert links.href == "/paper/Linked%20Lists/page/0"
+
+
+def test_lookups(made):
+    _, r = made
+    assert views.page_lookup(r.pages, "doc-2", 0).first().status == 200
+    assert views.page_lookup(r.pages, "doc-2", 999).first().status == 404
+    first = r.artifacts.filter("image_path is not null").orderBy("artifact_id").first()
+    place = int(first.artifact_id.rsplit("::", 1)[1])
+    assert views.artifact_lookup(r.artifacts, first.paper_id, place).first().image_path == first.image_path
+    assert views.artifact_lookup(r.artifacts, first.paper_id, 999).first().status == 404
