@@ -122,6 +122,7 @@ def declared(files: DataFrame, key: str = "doc_id", text: str = "text", path: st
     )
     best_first = lambda: F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l")))
     by_statement = scored.groupBy("statement").agg(best_first().alias("b")).select("statement", (-F.col("b.s")).alias("score"), F.col("b.l").alias("license"))
+    by_statement = written(by_statement, "statement")  # plain tables make joins that can be split
     by_row = (
         seen.select("row", F.explode("statements").alias("statement"))
         .join(by_statement, "statement")
@@ -176,6 +177,7 @@ def scan(files: DataFrame, key: str = "doc_id", text: str = "text", path: str =
         .agg(F.max(F.struct(F.col("a.depth").alias("depth"), "grant_dir", "grant")).alias("g"))
         .select(F.col("dir").alias("of"), "g.grant_dir", "g.grant")
     )
+    nearest = written(nearest, "nearest")
     own = F.col("license").isNotNull()
     return found.join(nearest, F.col("dir") == F.col("of"), "left").select(
         F.col("file_key").alias(key),
