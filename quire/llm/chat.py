@@ -158,3 +158,20 @@ def op3_chat_format(spark, sf_dir):
     return format_conversations(
         rows.unionByName(planted), ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
     )
+
+
+def _escaped_length(c: str) -> str:
+    """SQL for a text's length once escaped: a character more per backslash and control string."""
+    extra = [rf"(length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}" for x in ("\\", *T.CONTROLS)]
+    return f"length({c}) + " + " + ".join(extra)
+
+
+ORACLE = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len("<s>[INST][/INST]</s>")} + {_escaped_length("role")} + {_escaped_length("text")}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""

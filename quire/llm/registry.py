@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": warc.ORACLE,
+        "op3_chat_format": chat.ORACLE,
+        "op4_jaccard_join": jaccard.ORACLE,
         "op7_quality_rules": quality_rules.oracle(),
         "op9_decontaminate": decontaminate.ORACLE,
         "op10_license_scan": licenses.oracle(),
