@@ -80,6 +80,7 @@ def decide_revisits(pages: DataFrame) -> DataFrame:
         .filter("copies > 1 and response is not null")
         .drop("copies")
     )
+    first = written(first, "responses")  # a plain table, so that the join below can be split
     # a key of their own keeps the small ones apart; it can't equal a digest
     key = F.when(F.col("large"), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
     joined = rows.withColumn("key", key).join(first, F.col("key") == F.col("of"), "left")
