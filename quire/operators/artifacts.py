@@ -9,6 +9,7 @@ from quire.functions import geometry as G
 from quire.functions import text as X
 from quire.operators.layout import greedy
 
+# fixed values
 KINDS = ("figure", "table", "equation")
 PADDING, MIN_SIDE, CAPTION_OVERLAP = 6.0, 24.0, 0.5
 DPI = 200

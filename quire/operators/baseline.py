@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 
+# fixed values
 SIZE, OVERLAP = 800, 100
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 
 PAGE = ["paper_id", "page"]
+# fixed values
 PAGE_MARGIN = 72.0
 MAX_EQUATION_CHARS = 200
 DEFAULT_BODY_SIZE = 10.0

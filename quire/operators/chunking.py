@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 
+# fixed values
 TARGET, RUNT = 1200, 120
 
 

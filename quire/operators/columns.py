@@ -9,6 +9,7 @@ from quire.functions import geometry as G
 from quire.functions import text as X
 from quire.operators.blocks import DEFAULT_BODY_SIZE, PAGE
 
+# fixed values
 MIN_GUTTER_RATIO = 0.035
 ROUGH, STRICT = 0.50, 0.08
 HEADING_SIZE, MAX_HEADING_CHARS, HEADING_BOLD = 1.12, 120, 0.6

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 
 Box = tuple[float, float, float, float]
 
+# fixed values
 MERGE_FIGURE, MERGE_EQUATION = 12.0, 8.0
 MIN_FIGURE_SIDE = 36.0
 MAX_TEXT_COVERAGE = 0.5

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import text as X
 
+# fixed values
 SHORT, NEAR, MANY, OVERLAP, GIANT = 25, 30.0, 4, 0.5, 0.6
 PAGE = ["paper_id", "page"]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import text as X
 
+# fixed values
 CHUNK_PREVIEW, CHUNK_CHARS = 4, 210
 ARTIFACT_LIMIT, LINK_PREVIEW, PAGE_LINKS, THUMBNAILS, COMPARE_LIMIT, COMPARE_CHARS = 8, 4, 10, 12, 12, 260
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# fixed values
 SCHEMA_VERSION = "1.4.0"
 
 SECTIONS = (
