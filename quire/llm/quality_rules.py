@@ -195,6 +195,7 @@ def judge(docs: DataFrame) -> DataFrame:
             *[F.coalesce(f"s_{n}", f"l_{n}", f"t_{n}").alias(n) for n in names],
         )
     )
+    cutoffs = written(cutoffs, "cutoffs")  # a plain table, so that the join below can be split
     failed = F.lit(False)
     for rule, _, lower in RULES:
         failed = failed | (F.col(rule) > F.col(f"{rule}_high"))
