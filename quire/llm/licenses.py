@@ -1,15 +1,18 @@
 """Licence scans: sparse TF-IDF cosine to templates, and inheritance by directory.
 
-Lines that speak of licensing (and the whole text of files that are named as licence
-files) are compared with template statements. Term weights come from the document
-frequency of the templates' terms over the whole corpus. A file without a statement of
-its own takes the licence of its nearest ancestor directory that has one.
+Lines that speak of licensing, windows of words around what speaks of it, across lines
+(and the whole text of files that are named as licence files) are compared with template
+statements. Term weights come from the document frequency of the templates' terms over
+the whole corpus. A file without a statement of its own takes the licence of its nearest
+ancestor directory that has one.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,12 @@ TEMPLATES = (
 )
 #: Lines without any of these can't be near a template: each template has one.
 TRIGGER = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain"
+#: The same across line ends, and of one word.
+TRIGGER_IN_TEXT = TRIGGER.replace("public domain", r"public[^\p{L}\p{N}]+domain")
+COMMENT_WORD = r"(?im)^[ \t]*(?:rem|dnl)[ \t]"
+TRIGGER_WORD = r"licen[cs]e|copyright|permission|redistribut"
+#: Words of a window to a template's words: its own wording, and one with a clause more.
+SPANS = (1.0, 1.5)
 LICENCE_FILE = r"(?i)(^|/)((un)?licen[cs]e|copying|notice)([.-][a-z0-9.-]*)?$"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.6
@@ -47,6 +56,41 @@ def terms(text: Column) -> Column:
     return words(ascii_lower(text), BREAK)
 
 
+def stretches(w: Column, reach: int) -> Column:
+    """(words, starts) of each trigger in the array ``w``: the words less than ``reach`` from
+    it, and how many windows begin up to it but after the trigger before. So every window
+    that holds a trigger belongs to one stretch."""
+    speaks = lambda i: F.get(w, i).rlike(TRIGGER_WORD) | ((F.get(w, i) == "domain") & (F.get(w, i - 1) == "public"))
+
+    def around(i: Column, before: Column) -> Column:
+        first = F.greatest(before + 1, i - (reach - 1))
+        return F.struct(F.array_join(F.slice(w, first + 1, i + reach - first), " ").alias("words"), (i - first + 1).alias("starts"))
+
+    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), speaks)
+    each = lambda p: F.transform(p, lambda i, k: around(i, F.coalesce(F.get(p, k - 1), F.lit(-1))))
+    return F.flatten(F.transform(F.array(places), each))
+
+
+def windows(around: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(words, starts, statement): of each stretch the windows that can reach THRESHOLD.
+
+    A cosine is at most the share of the template's length that lies in terms of the
+    window, so windows with less can be left out.
+    """
+    least = (THRESHOLD - 1e-6) ** 2
+    holds = lambda w: (
+        F.aggregate("shares", F.lit(0.0), lambda a, x: a + F.when(F.array_contains(w, x["term"]), x["share"]).otherwise(0.0)) >= least
+    )
+    slices = F.transform(F.sequence(F.lit(1), F.col("starts")), lambda i: F.slice("w", i, F.col("size")))
+    return (
+        around.withColumn("w", F.split("words", " "))
+        .join(F.broadcast(shapes), holds(F.col("w")))
+        .select("words", "starts", F.explode(F.filter(slices, holds)).alias("window"))
+        .select("words", "starts", F.array_join("window", " ").alias("statement"))
+        .distinct()
+    )
+
+
 def _constants(spark: SparkSession, rows: list[Column]) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
@@ -71,6 +115,11 @@ def _weighted(tf: DataFrame, idf: DataFrame, unit: list[str], rare: Column) -> D
 def declared(files: DataFrame, key: str = "doc_id", text: str = "text", path: str = "path") -> DataFrame:
     """(row, file_key, path, license, score) of every row: the best template of any of its
     statements at or above THRESHOLD, else nulls. Ties go to the licence that sorts first.
+    Templates whose numbers a statement lacks come after all others: the beginning of a
+    header is as near to the GPL's second version as to its third.
+
+    Statements are lines, and windows of a template's length, or half as much more, at every
+    word of the text so that a trigger lies in them, whatever lines or marks are between.
 
     A null text has no statements; a null path is no licence file.
     """
@@ -80,13 +129,19 @@ def declared(files: DataFrame, key: str = "doc_id", text: str = "text", path: st
     templates = _template_table(files)
     template_tf = templates.select("template", F.explode(terms(F.col("statement"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
     vocabulary = sorted({r[0] for r in template_tf.select("term").distinct().collect()})
+    longest = templates.agg(F.max(F.size(terms(F.col("statement"))))).first()[0]
+    reach = math.ceil(longest * max(SPANS))
 
     is_file = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(TRIGGER))
     statements = F.when(is_file, F.concat(lines, F.array("text"))).otherwise(lines)
+    near = F.when(
+        F.col("text").rlike(TRIGGER_IN_TEXT),
+        F.flatten(F.transform(F.array(terms(F.regexp_replace("text", COMMENT_WORD, ""))), lambda w: stretches(w, reach))),
+    )
     known = F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, vocabulary)))
     seen = written(
-        rows.withColumn("row", F.monotonically_increasing_id()).select("row", "file_key", "path", statements.alias("statements"), known.alias("known")),
+        rows.withColumn("row", F.monotonically_increasing_id()).select("row", "file_key", "path", statements.alias("statements"), near.alias("near"), known.alias("known")),
         "statements",
     )
     n = seen.count()
@@ -99,37 +154,47 @@ def declared(files: DataFrame, key: str = "doc_id", text: str = "text", path: st
     )
     rare = log(F.lit(0))
 
+    temp_w = _weighted(template_tf, idf, ["template"], rare)
+    norm = lambda df, unit: df.groupBy(unit).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    shapes = (
+        temp_w.join(norm(temp_w, "template"), "template")
+        .groupBy("template")
+        .agg(F.collect_list(F.struct("term", F.pow(F.col("weight") / F.col("norm"), 2).alias("share"))).alias("shares"))
+        .join(template_tf.groupBy("template").agg(F.sum("tf").alias("n")), "template")
+        .select("shares", F.explode(F.array(*[F.ceil(F.col("n") * x).cast("int") for x in SPANS])).alias("size"))
+    )
+    around = seen.select(F.explode("near").alias("x")).select("x.*").distinct()
+    window = written(windows(around, shapes), "windows")
+
     # a statement that many files share is scored once
-    distinct = seen.select(F.explode("statements").alias("statement")).distinct()
+    distinct = seen.select(F.explode("statements").alias("statement")).union(window.select("statement")).distinct()
     tf = (
         distinct.select("statement", F.explode(terms(F.col("statement"))).alias("term"))
         .groupBy("statement", "term")
         .agg(F.count("*").alias("tf"))
     )
     line_w = _weighted(tf, idf, ["statement"], rare)
-    temp_w = _weighted(template_tf, idf, ["template"], rare)
-    norm = lambda df, unit: df.groupBy(unit).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     dots = (
         line_w.join(F.broadcast(temp_w.select("template", "term", F.col("weight").alias("t_weight"))), "term")
         .groupBy("statement", "template")
         .agg(F.sum(F.col("weight") * F.col("t_weight")).alias("dot"))
     )
+    numbers = lambda c: F.regexp_extract_all(F.col(c), F.lit("([0-9]+)"), F.lit(1))
+    about = templates.select("template", "license", numbers("statement").alias("numbers"))
+    unsure = F.size(F.array_except("numbers", numbers("statement"))) > 0
     scored = (
         dots.join(norm(line_w, "statement"), "statement")
-        .join(F.broadcast(norm(temp_w, "template").join(templates.select("template", "license"), "template").withColumnRenamed("norm", "t_norm")), "template")
+        .join(F.broadcast(norm(temp_w, "template").join(about, "template").withColumnRenamed("norm", "t_norm")), "template")
         .withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6))
         .filter(F.col("score") >= THRESHOLD)
+        .select("statement", F.struct(unsure.alias("u"), (-F.col("score")).alias("s"), F.col("license").alias("l")).alias("b"))
     )
-    best_first = lambda: F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l")))
-    by_statement = scored.groupBy("statement").agg(best_first().alias("b")).select("statement", (-F.col("b.s")).alias("score"), F.col("b.l").alias("license"))
-    by_statement = written(by_statement, "statement")  # plain tables make joins that can be split
-    by_row = (
-        seen.select("row", F.explode("statements").alias("statement"))
-        .join(by_statement, "statement")
-        .groupBy("row")
-        .agg(best_first().alias("b"))
-        .select("row", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"))
-    )
+    best = F.min("b").alias("b")
+    by_statement = written(scored.groupBy("statement").agg(best), "statement")  # plain tables make joins that can be split
+    by_stretch = written(window.join(by_statement, "statement").groupBy("words", "starts").agg(best), "stretch")
+    of_lines = seen.select("row", F.explode("statements").alias("statement")).join(by_statement, "statement").select("row", "b")
+    of_windows = seen.select("row", F.explode("near").alias("x")).select("row", "x.*").join(by_stretch, ["words", "starts"]).select("row", "b")
+    by_row = of_lines.union(of_windows).groupBy("row").agg(best).select("row", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"))
     return seen.select("row", "file_key", "path").join(by_row, "row", "left")
 
 

@@ -250,6 +250,29 @@ def test_licences_inherit_from_the_nearest_directory(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licence_headers_across_lines_and_in_paragraphs(spark):
+    gpl = "This program is free software{0} you can redistribute it and/or modify\n{1}it under the terms of the GNU General Public License as published by\n{1}the Free Software Foundation, either version {2} of the License, or\n{1}(at your option) any later version."
+    wrapped = "#!/bin/sh\n\n" + gpl.format(":", "# ", 3) + "\n#\n# This program is distributed in the hope that it will be useful."
+    exact = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version."
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at the address below. */"
+    rows = [
+        (wrapped, "GPL-3.0"),
+        (gpl.format(":", " * ", 3), "GPL-3.0"),
+        (gpl.format(";", "// ", 2), "GPL-2.0"),
+        (gpl.format(":", "dnl ", 3), "GPL-3.0"),
+        (mpl, "MPL-2.0"),
+        (exact + " The authors of this program thank all who have sent reports of its many faults over the years.", "GPL-3.0"),
+        ("word " * 400 + "Released under the MIT License. " + "word " * 400, "MIT"),
+        ("one two\nthis is free and unencumbered software released into the public\ndomain.", "Unlicense"),
+        ("a licence to print money " + "word " * 50, None),
+        ("", None),
+        (None, None),
+    ]
+    files = spark.createDataFrame([(i, "f", t) for i, (t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.file_key: r.license for r in licenses.declared(files).collect()}
+    assert got == {i: lic for i, (_, lic) in enumerate(rows)}
+
+
 # ---- pipeline --------------------------------------------------------------------------------
 
 
