@@ -3,13 +3,13 @@
 A state is the set of (trie node, edits so far) that some reading of the letters so
 far can be in, with the fewest edits kept per node. Transitions are worked out once and
 remembered, so a word costs one table lookup per letter and most words end in the dead
-state after a few. How many edits a term allows grows with its length; a stem
-stands for every word that begins with it, without edits.
+state after a few. How many edits a term allows grows with its length; a stem stands
+for every word that begins with it, or within its edits of it where stems are given any.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 State = tuple[tuple[int, int], ...]
 
@@ -19,16 +19,27 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+def stem_edits_allowed(stem: str) -> int:
+    """A stem's second edit would make it one of two letters less."""
+    return min(1, edits_allowed(stem))
+
+
+def no_edits(stem: str) -> int:
+    return 0
+
+
 class Matcher:
-    #: States remembered before the table starts anew.
+    #: States remembered, and places in them, before the table starts anew.
     MOST_STATES = 50_000
+    MOST_PLACES = 1_000_000
 
-    def __init__(self, terms: Iterable[str], stems: Iterable[str] = ()):
+    def __init__(self, terms: Iterable[str], stems: Iterable[str] = (), stem_edits: Callable[[str], int] = no_edits):
+        self.stem_edits = stem_edits
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
         self.allowed = [0]  # the most edits of any term below
-        for words, ends, edits in ((set(terms), self.term, edits_allowed), (set(stems), self.stem, lambda _: 0)):
+        for words, ends, edits in ((set(terms), self.term, edits_allowed), (set(stems), self.stem, stem_edits)):
             for word in sorted(words):
                 node, k = 0, edits(word)
                 self.allowed[0] = max(self.allowed[0], k)
@@ -48,7 +59,8 @@ class Matcher:
         self.number: dict[State, int] = {(): 0}
         self.states: list[State] = [()]
         self.moves: list[dict[str, int]] = [{}]
-        self.stemmed: list[str | None] = [None]
+        self.stemmed: list[tuple[int, str] | None] = [None]
+        self.places = 0
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -67,7 +79,9 @@ class Matcher:
             self.number[state] = len(self.states)
             self.states.append(state)
             self.moves.append({})
-            self.stemmed.append(next((self.stem[n] for n, e in state if e == 0 and self.stem[n]), None))
+            self.places += len(state)
+            begun = ((e, self.stem[n]) for n, e in state if self.stem[n])
+            self.stemmed.append(min((x for x in begun if x[0] <= self.stem_edits(x[1])), default=None))
         return self.number[state]
 
     def _move(self, state: int, letter: str) -> int:
@@ -85,22 +99,33 @@ class Matcher:
         return to
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the nearest term or of the stem that begins the word."""
-        if len(self.states) > self.MOST_STATES:
+        """(term, edits) of ``nearest``."""
+        found = self.nearest(word)
+        return found and found[:2]
+
+    def nearest(self, word: str) -> tuple[str, int, int] | None:
+        """(term, edits, letters of the word that it takes) of the stem that begins the word,
+        else of the nearest term, else stem; a stem takes the shortest beginning as near."""
+        if len(self.states) > self.MOST_STATES or self.places > self.MOST_PLACES:
             self._forget()
         at, moves, stemmed = self.start, self.moves, self.stemmed
-        for letter in word:
+        begun, taken = None, 0
+        for n, letter in enumerate(word, 1):
             to = moves[at].get(letter)
             if to is None:
                 to = self._move(at, letter)
-            if not to:
-                return None
             at = to
-            if stemmed[at]:
-                return stemmed[at], 0
+            if not at:
+                break
+            if stemmed[at] and (begun is None or stemmed[at][0] < begun[0]):
+                begun, taken = stemmed[at], n
+                if not begun[0]:
+                    return begun[1], 0, n
         best = None
         for node, e in self.states[at]:
             term = self.term[node]
             if term is not None and e <= edits_allowed(term) and (best is None or e < best[1]):
-                best = (term, e)
+                best = (term, e, len(word))
+        if begun and (best is None or begun[0] < best[1]):
+            return begun[1], begun[0], taken
         return best

@@ -3,8 +3,9 @@
 The lexicon is a fixed list of insults and the words and stems that labelled training
 documents show to go with toxicity, in any language. Words are matched by
 ``lexicon.Matcher``, misspellings included. A finding counts less where its window of
-words shows that it is quoted or spoken about. Forms within an edit of a term that
-clean training documents use as well are ordinary words and are left out.
+words shows that it is quoted or spoken about. Forms within an edit of a term, and
+beginnings within an edit of a stem, that clean training documents use as well are
+ordinary words and are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import labelled
 from quire.llm.common import drop_written, table
-from quire.llm.lexicon import Matcher
+from quire.llm.lexicon import Matcher, stem_edits_allowed
 
 #: Insults that hold without training.
 INSULTS = (
@@ -155,7 +156,7 @@ def _counted(got: dict[str, list[int]]) -> pa.RecordBatch:
 
 @dataclass
 class Finding:
-    form: str  # the word as matched
+    form: str  # the word as matched; of a stem, its beginning
     term: str
     edits: int
     weight: float  # by its context
@@ -167,14 +168,18 @@ class Finder:
     MOST_WORDS = 100_000
 
     def __init__(self, terms: tuple[str, ...], stems: tuple[str, ...], ordinary: frozenset[str] = frozenset()):
-        self.matcher, self.ordinary = Matcher(terms, stems), ordinary
-        self.known: dict[str, tuple[str, int] | None] = {}
+        self.matcher, self.ordinary = Matcher(terms, stems, stem_edits_allowed), ordinary
+        self.known: dict[str, tuple[str, str, int] | None] = {}
 
-    def lookup(self, word: str) -> tuple[str, int] | None:
+    def lookup(self, word: str) -> tuple[str, str, int] | None:
+        """(form, term, edits) of a word."""
         if word in self.known:
             return self.known[word]
-        form = plain(word)
-        found = None if form in self.ordinary else self.matcher.match(form)
+        form, found = plain(word), None
+        if near := self.matcher.nearest(form):
+            term, edits, taken = near
+            if not (edits and form[:taken] in self.ordinary):
+                found = (form[:taken], term, edits)
         if len(self.known) >= self.MOST_WORDS:
             self.known.clear()
         self.known[word] = found
@@ -189,7 +194,7 @@ class Finder:
             return [], len(words)
         places = [(m.start(), m.end()) for m in WORD.finditer(lowered)]
         return [
-            Finding(plain(w), *hits[w], self.context(lowered, words, places, i)) for i, w in enumerate(words) if w in hits
+            Finding(*hits[w], self.context(lowered, words, places, i)) for i, w in enumerate(words) if w in hits
         ], len(words)
 
     @staticmethod

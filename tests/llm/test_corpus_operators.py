@@ -108,6 +108,30 @@ def test_matcher_equals_edit_distances():
             assert (got[1] if got else None) == (min(near)[0] if near else None)
 
 
+def test_stems_with_edits_equal_distances_of_beginnings():
+    stems = ["lowei", "bomentec", "réêou", "trash", "scum"]
+    edits = lexicon.stem_edits_allowed
+    m = lexicon.Matcher(["trasher", "lowly"], stems, edits)
+    r = random.Random(8)
+    for _ in range(4000):
+        word = list(r.choice([*stems, "other"]) + r.choice(["", "ion", "e"]))
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(word) + 1)
+            word[i : i + r.randint(0, 1)] = r.choice(["", "x", "o", "t"])
+        word = "".join(word)
+        near = {s: min(edit_distance(word[:n], s) for n in range(len(word) + 1)) for s in stems}
+        near = [e for s, e in near.items() if e <= edits(s)] + [e for t in ("trasher", "lowly") if (e := edit_distance(word, t)) <= lexicon.edits_allowed(t)]
+        got = m.match(word)
+        assert (got[1] if got else None) == (min(near) if near else None), word
+
+
+def test_misspelt_learned_terms_are_found():
+    f = toxicity.Finder((), ("bomentec", "réeuxle"), frozenset(["bomente"]))
+    text = "bomentecion bomemtecion bometecion bommentecion réeuxxle rééuxler"
+    assert [x.edits for x in f.find(text)[0]] == [0, 1, 1, 1, 1, 1]
+    assert f.find("bomentetion bomentets ordinary words")[0] == []
+
+
 def test_quotation_weighs_less_than_abuse():
     f = toxicity.Finder(toxicity.INSULTS, ())
     abuse, _ = f.find("you are an idiot and a m0ron")
