@@ -1,9 +1,10 @@
 """Secret scans: patterns of known forms, and a token-efficiency test for the rest.
 
 A byte-pair vocabulary spells ordinary words and identifiers in few tokens but random
-strings in many, so a run of few characters per token, with letters and digits, is
-likely a key. Strings of well-known random but harmless form (digests, UUIDs, dates,
-numbers) are excluded first, as are runs that a pattern has found.
+strings in many, so a run of few characters per token is likely a key. Strings of
+well-known random but harmless form (digests, UUIDs, dates, numbers) are excluded first,
+as are runs that a pattern has found. Separators and short numbers cost tokens in any
+identifier, so of these only the letters are asked.
 """
 
 from __future__ import annotations
@@ -29,16 +30,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more: the same as all runs,
 
 #: Runs that the token-efficiency test looks at, and most characters per token for a finding.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
+LETTERS = re.compile(r"[A-Za-z]+")
 MAX_CHARS_PER_TOKEN = 1.9
 HARMLESS = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"  # digests
     r"|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUIDs
     r"|sha(?:1|256|384|512)[-=][A-Za-z0-9+/=]+"  # integrity values
-    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T?[0-9Z+-]*"  # dates
-    r"|(?:[A-Za-z]{2,}|[0-9]{1,4})(?:[-_/](?:[A-Za-z]{2,}|[0-9]{1,4}))+/?)"  # identifiers and paths of whole words and short numbers
+    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T?[0-9Z+-]*)"  # dates
     r"\Z"
 )
+#: Identifiers and paths of words and short numbers.
+IDENTIFIER = re.compile(r"(?:[A-Za-z]{2,}|[0-9]{1,4})(?:[-_/](?:[A-Za-z]{2,}|[0-9]{1,4}))+/?\Z")
+#: A word of so many letters is asked by itself, as a run would be.
+LONG = 20
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
@@ -53,17 +57,29 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def hungry(run: str, codec: bpe.Codec, most: float) -> bool:
+    """Whether a run has few characters per token; an identifier, whether its words have,
+    or a long one of them."""
+    if not IDENTIFIER.match(run):
+        return len(run) <= most * len(codec.encode(run))
+    words = LETTERS.findall(run)
+    size = [len(codec.encode(w)) for w in words]
+    return sum(map(len, words)) <= most * sum(size) or any(
+        len(w) >= LONG and len(w) <= most * n for w, n in zip(words, size, strict=True)
+    )
+
+
 def random_spans(text: str, known: list[Span], codec: bpe.Codec, most: float) -> list[Span]:
-    """Runs outside ``known`` that are mixed, not of a harmless form, and token-hungry."""
+    """Runs outside ``known`` that have letters, no harmless form, and are token-hungry."""
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if not MIXED.match(run) or HARMLESS.match(run):
+        if not LETTERS.search(run) or HARMLESS.match(run):
             continue
         a, b = m.span()
         if any(s < b and a < e for s, _, e in known):
             continue
-        if b - a <= most * len(codec.encode(run)):
+        if hungry(run, codec, most):
             found.append((a, 3, b))
     return found
 

@@ -63,6 +63,28 @@ def test_random_strings_are_found_and_known_forms_are_not():
     assert [t for t in harmless if find(t)] == []
 
 
+def test_random_strings_without_digits_are_found():
+    c = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    r = random.Random(3)
+    find = lambda t: secrets.random_spans(t, [], c, secrets.MAX_CHARS_PER_TOKEN)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    for letters, least in ((string.ascii_letters, 50), (string.ascii_uppercase, 49), (string.ascii_lowercase, 44)):
+        assert sum(bool(find(f"the key {draw(letters, 32)} is")) for _ in range(50)) >= least
+    assert sum(find(k) == [(0, 3, 32)] for _ in range(50) if (k := f"live_{draw(string.ascii_letters, 24)}_42")) >= 48
+    assert sum(bool(find("-".join(draw(string.ascii_letters, 8) for _ in range(4)))) for _ in range(50)) >= 45
+    harmless = [
+        "verantwortungsbewusstseinsbildung",
+        "internationalization_and_localization",
+        "MAX_NUMBER_OF_CONCURRENT_REQUESTS_PER_USER_10",
+        "src/main/resources/internationalization/de",
+        "getApplicationContextFactoryBean",
+        "12345678901234567890123456789",
+        "--------------------------------",
+        "____________________/___________",
+    ]
+    assert [t for t in harmless if find(t)] == []
+
+
 def test_redaction_covers_overlaps():
     text = "a password=0123456789abcdef01234567 b"
     spans = secrets.base_spans(text)
