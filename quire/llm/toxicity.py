@@ -53,6 +53,8 @@ WINDOW = 5
 QUOTED = 0.25
 
 WORD = re.compile(r"[\w@$]+")
+#: Signs of WORD that may stand at a word's ends for no letter.
+SIGNS = "@$_"
 _LEET = str.maketrans("0134578@$", "oleastbas")
 
 
@@ -61,14 +63,21 @@ def plain(word: str) -> str:
     return word.translate(_LEET) if not word.isalpha() and not word.isdigit() else word
 
 
+def forms(word: str) -> list[str]:
+    """The word in plain letters: with signs at its ends as letters, and without them."""
+    if word.strip(SIGNS) == word:
+        return [plain(word)]
+    return [plain(w) for w in dict.fromkeys((word, word.rstrip(SIGNS), word.lstrip(SIGNS), word.strip(SIGNS))) if w]
+
+
 def prefix_counts(text: str) -> set[str]:
     out = set()
-    for w in set(WORD.findall(text.lower())):
-        w = plain(w)
-        for n in PREFIXES:
-            if len(w) < n:
-                break
-            out.add(w[:n])
+    for word in set(WORD.findall(text.lower())):
+        for w in forms(word):
+            for n in PREFIXES:
+                if len(w) < n:
+                    break
+                out.add(w[:n])
     return out
 
 
@@ -175,11 +184,12 @@ class Finder:
         """(form, term, edits) of a word."""
         if word in self.known:
             return self.known[word]
-        form, found = plain(word), None
-        if near := self.matcher.nearest(form):
-            term, edits, taken = near
-            if not (edits and form[:taken] in self.ordinary):
-                found = (form[:taken], term, edits)
+        found = None
+        for form in forms(word):
+            if near := self.matcher.nearest(form):
+                term, edits, taken = near
+                if not (edits and form[:taken] in self.ordinary) and (found is None or edits < found[2]):
+                    found = (form[:taken], term, edits)
         if len(self.known) >= self.MOST_WORDS:
             self.known.clear()
         self.known[word] = found

@@ -132,6 +132,13 @@ def test_misspelt_learned_terms_are_found():
     assert f.find("bomentetion bomentets ordinary words")[0] == []
 
 
+def test_signs_at_the_ends_of_a_word_may_be_no_letters():
+    f = toxicity.Finder(toxicity.INSULTS, ())
+    words = ["idiot$$$", "@@moron", "__idiot__", "$tupid$$$", "dumba$$", "$cum", "$$$dumba$$", "idi0t$"]
+    assert {w: [x.edits for x in f.find(f"you {w} there")[0]] for w in words} == {w: [0] for w in words}
+    assert f.find("$$$ @@ ___ $5 a_b $x")[0] == []
+
+
 def test_quotation_weighs_less_than_abuse():
     f = toxicity.Finder(toxicity.INSULTS, ())
     abuse, _ = f.find("you are an idiot and a m0ron")
