@@ -212,13 +212,14 @@ def ancestors(of: Column) -> Column:
     )
 
 
-def scan(files: DataFrame, key: str = "doc_id", text: str = "text", path: str = "path", by_majority: bool = False) -> DataFrame:
+def scan(files: DataFrame, key: str = "doc_id", text: str = "text", path: str = "path", by_majority: bool = False, by_plurality: bool = False) -> DataFrame:
     """(key, license, score, origin, license_dir) of every row.
 
     origin is ``header`` for a file's own statement, ``inherited`` for its nearest ancestor
     directory's licence, else ``none``. A directory's licence is that of the licence
-    files in it (the most frequent, then the first); with ``by_majority``, where it has
-    none, that which most of its files state. Nearest ancestors are found once per
+    files in it (the most frequent, then the first); where it has none, with ``by_majority``
+    that which more than half of its files state, and with ``by_plurality`` the most frequent
+    one that any of them states, however few. Nearest ancestors are found once per
     directory, so a directory that holds a third of all files costs its files one
     lookup each, in a join that can be split.
 
@@ -229,10 +230,13 @@ def scan(files: DataFrame, key: str = "doc_id", text: str = "text", path: str =
     is_file = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     votes = (
         found.filter("license is not null and dir is not null")
-        .filter(F.lit(by_majority) | is_file)
+        .filter(F.lit(by_majority or by_plurality) | is_file)
         .groupBy("dir", "license")
         .agg(F.sum(is_file.cast("int")).alias("files"), F.count("*").alias("n"))
     )
+    if by_majority and not by_plurality:
+        sizes = written(found.filter("dir is not null").groupBy("dir").agg(F.count("*").alias("all")), "sizes")
+        votes = votes.join(sizes, "dir").filter("files > 0 or 2 * n > `all`").drop("all")
     best = Window.partitionBy("dir").orderBy(F.desc("files"), F.desc("n"), "license")
     grants = votes.withColumn("k", F.row_number().over(best)).filter("k = 1").select(F.col("dir").alias("grant_dir"), F.col("license").alias("grant"))
     up = found.filter("dir is not null").select("dir").distinct().select("dir", F.explode(ancestors(F.col("dir"))).alias("a"))
@@ -254,11 +258,11 @@ def scan(files: DataFrame, key: str = "doc_id", text: str = "text", path: str =
 
 
 def op10_license_scan(spark, sf_dir):
-    """Documents lie in a tree of source and language; directories go by majority."""
+    """Documents lie in a tree of source and language; directories go by plurality, as in the SQL."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")
     )
-    return scan(docs, by_majority=True)
+    return scan(docs, by_plurality=True)
 
 
 def oracle() -> str:

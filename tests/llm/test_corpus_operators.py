@@ -281,6 +281,14 @@ def test_licences_inherit_from_the_nearest_directory(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_a_majority_is_more_than_half(spark):
+    mit = "Released under the MIT License."
+    rows = [("a/1", mit), ("a/2", "x"), ("b/1", mit), ("b/2", mit), ("b/3", "x"), ("c/1", mit), ("c/2", "x"), ("c/3", "x")]
+    files = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = lambda **by: {r.doc_id for r in licenses.scan(files, **by).collect() if r.origin == "inherited"}
+    assert (got(), got(by_majority=True), got(by_plurality=True)) == (set(), {4}, {1, 4, 6, 7})
+
+
 def test_licence_headers_across_lines_and_in_paragraphs(spark):
     gpl = "This program is free software{0} you can redistribute it and/or modify\n{1}it under the terms of the GNU General Public License as published by\n{1}the Free Software Foundation, either version {2} of the License, or\n{1}(at your option) any later version."
     wrapped = "#!/bin/sh\n\n" + gpl.format(":", "# ", 3) + "\n#\n# This program is distributed in the hope that it will be useful."
