@@ -157,3 +157,19 @@ def test_lookups(made):
     place = int(first.artifact_id.rsplit("::", 1)[1])
     assert views.artifact_lookup(r.artifacts, first.paper_id, place).first().image_path == first.image_path
     assert views.artifact_lookup(r.artifacts, first.paper_id, 999).first().status == 404
+
+
+def test_kwic_marks_the_first_mention(spark):
+    artifacts = spark.createDataFrame(
+        [("p", "a0", "Figure 2: A plot.", ["c0", "c1"]), ("p", "a1", "A plot.", ["c1"]), ("p", "a2", "Table 1: Rows.", [])],
+        "paper_id string, artifact_id string, caption string, linked_chunk_ids array<string>",
+    )
+    texts = [("p", "c0", "x" * 70 + " see\nFigure 2 and Figure 2 again " + "y" * 80), ("p", "c1", "z" * 160)]
+    chunks = spark.createDataFrame(texts, "paper_id string, chunk_id string, text string")
+    got = {r.artifact_id: (r.chunk_id, r.before, r.marked, r.after) for r in views.keyword_in_context(artifacts, chunks).collect()}
+    flat = texts[0][2].replace("\n", " ")
+    at = flat.index("Figure 2")
+    assert got == {
+        "a0": ("c0", "… " + flat[at - 62 : at], "Figure 2", flat[at + 8 : at + 82] + " …"),
+        "a1": ("c1", "z" * 150 + " …", "", ""),
+    }
