@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import components, decontaminate, jaccard, labelled, lexicon, licenses, quality_model, quality_rules, toxicity
+from quire.llm import components, decontaminate, jaccard, labelled, lexicon, quality_model, quality_rules, toxicity
 from tests.conftest import SF, canonical, same_as_duck
 
 
@@ -200,7 +200,6 @@ def test_isotonic_rises():
     [
         (quality_rules.op7_quality_rules, quality_rules.oracle()),
         (decontaminate.op9_decontaminate, decontaminate.ORACLE),
-        (licenses.op10_license_scan, licenses.oracle()),
     ],
 )
 def test_native_operators_equal_sql(spark, run, sql):
@@ -253,65 +252,6 @@ def test_decontamination_equals_sql_on_short_items(spark, tmp_path):
     assert carried.columns == ["doc_id", "kept"] and carried.count() == 202
 
 
-def test_licences_inherit_from_the_nearest_directory(spark):
-    rows = [
-        ("a/LICENSE", "Licensed under the Apache License, Version 2.0."),
-        ("a/b/x.py", "# code"),
-        ("a/b/c/COPYING", "This work is licensed under the GNU General Public License, version 3."),
-        ("a/b/c/d/y.py", None),
-        ("a/b/c/z.py", "Released under the MIT License.\nother"),
-        ("q.py", "nothing"),
-        (None, "text"),
-        ("a/b/x.py", "# code"),
-        ("e/LICENSE.txt", ""),
-    ]
-    files = spark.createDataFrame([(i, p, t, "l") for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string, license string")
-    got = {r.doc_id: (r.license, r.origin, r.license_dir) for r in licenses.scan(files).collect()}
-    assert got == {
-        0: ("Apache-2.0", "header", None),
-        1: ("Apache-2.0", "inherited", "a"),
-        2: ("GPL-3.0", "header", None),
-        3: ("GPL-3.0", "inherited", "a/b/c"),
-        4: ("MIT", "header", None),
-        5: (None, "none", None),
-        6: (None, "none", None),
-        7: ("Apache-2.0", "inherited", "a"),
-        8: (None, "none", None),
-    }
-    assert licenses.scan(files.limit(0)).count() == 0
-
-
-def test_a_majority_is_more_than_half(spark):
-    mit = "Released under the MIT License."
-    rows = [("a/1", mit), ("a/2", "x"), ("b/1", mit), ("b/2", mit), ("b/3", "x"), ("c/1", mit), ("c/2", "x"), ("c/3", "x")]
-    files = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
-    got = lambda **by: {r.doc_id for r in licenses.scan(files, **by).collect() if r.origin == "inherited"}
-    assert (got(), got(by_majority=True), got(by_plurality=True)) == (set(), {4}, {1, 4, 6, 7})
-
-
-def test_licence_headers_across_lines_and_in_paragraphs(spark):
-    gpl = "This program is free software{0} you can redistribute it and/or modify\n{1}it under the terms of the GNU General Public License as published by\n{1}the Free Software Foundation, either version {2} of the License, or\n{1}(at your option) any later version."
-    wrapped = "#!/bin/sh\n\n" + gpl.format(":", "# ", 3) + "\n#\n# This program is distributed in the hope that it will be useful."
-    exact = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version."
-    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at the address below. */"
-    rows = [
-        (wrapped, "GPL-3.0"),
-        (gpl.format(":", " * ", 3), "GPL-3.0"),
-        (gpl.format(";", "// ", 2), "GPL-2.0"),
-        (gpl.format(":", "dnl ", 3), "GPL-3.0"),
-        (mpl, "MPL-2.0"),
-        (exact + " The authors of this program thank all who have sent reports of its many faults over the years.", "GPL-3.0"),
-        ("word " * 400 + "Released under the MIT License. " + "word " * 400, "MIT"),
-        ("one two\nthis is free and unencumbered software released into the public\ndomain.", "Unlicense"),
-        ("a licence to print money " + "word " * 50, None),
-        ("", None),
-        (None, None),
-    ]
-    files = spark.createDataFrame([(i, "f", t) for i, (t, _) in enumerate(rows)], "doc_id long, path string, text string")
-    got = {r.file_key: r.license for r in licenses.declared(files).collect()}
-    assert got == {i: lic for i, (_, lic) in enumerate(rows)}
-
-
 # ---- pipeline --------------------------------------------------------------------------------
 
 
