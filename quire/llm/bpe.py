@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quire.llm.common import table
+from quire.llm.common import beside, ship, table
 
 NONE = 1 << 40
 #: Entries of a worker's table of encoded matches, and the longest match kept.
@@ -164,11 +164,14 @@ def encode(
     vocabulary: a file of base64 token and rank a line, present on every executor.
     cache_entries: encoded matches that a worker remembers, about 250 bytes each.
     A null text counts as empty, which has no tokens; a null key stays null; other
-    columns are not read; repeated rows give repeated rows; no rows give none.
+    columns are not read; a kept column that has an output's name gives way to it;
+    repeated rows give repeated rows; no rows give none.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pat = pattern or public_tokenizers.PATTERN
+    keep = beside(keep, outputs)
     rows = docs.select(key, text, *keep)
+    ship(docs.sparkSession)
     kinds = [f.dataType.simpleString() for f in rows.schema]
     names = [key, *keep]
     schema = ", ".join([*(f"`{c}` {k}" for c, k in zip(names, kinds[:1] + kinds[2:], strict=True)), *(f"{c} {COLUMNS[c][0]}" for c in outputs)])

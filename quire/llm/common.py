@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.sources.shared import drop_written, new_path, ship, written
 
-__all__ = ["SPACES", "WORD_BREAK", "Query", "ascii_lower", "drop_written", "new_path", "table", "words", "written"]
+__all__ = ["SPACES", "WORD_BREAK", "Query", "ascii_lower", "beside", "drop_written", "new_path", "ship", "table", "words", "written"]
 
 #: Characters that separate words in most contracts: space, \t, \n, \v, \f, \r.
 SPACES = "\x20\t\n\x0b\x0c\r"
@@ -26,6 +26,12 @@ def words(text, break_pattern: str = WORD_BREAK):
     return F.filter(F.split(F.coalesce(text, F.lit("")), break_pattern), lambda w: w != "")
 
 
+def beside(keep: tuple[str, ...], outputs) -> tuple[str, ...]:
+    """The columns of ``keep`` that have no output's name; the session may not tell cases apart."""
+    taken = {c.lower() for c in outputs}
+    return tuple(c for c in dict.fromkeys(keep) if c.lower() not in taken)
+
+
 def ascii_lower(text):
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

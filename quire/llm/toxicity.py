@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import labelled
-from quire.llm.common import drop_written, table
+from quire.llm.common import beside, drop_written, ship, table
 from quire.llm.lexicon import Matcher, stem_edits_allowed
 
 #: Insults that hold without training.
@@ -334,7 +334,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     columns stay; columns not named aren't read; repeated rows give repeated rows; no
     rows give none; a text's score depends on nothing but the text and the model.
     """
+    keep = beside(keep, ("score", "findings"))
     rows = docs.select(text, *keep)
+    ship(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double", "findings bigint"])
 

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, secrets, template, warc
+from quire.llm import bpe, chat, secrets, template, toxicity, warc
 from tests.conftest import SF, same_as_duck
 
 ODD = [(1, None, "x"), (2, "", "x"), (None, "token=abcdef1", None), (3, "token=abcdef1", "y"), (3, "token=abcdef1", "y"), (4, "a " * 60_000, "z")]
@@ -85,6 +85,145 @@ def test_random_strings_without_digits_are_found():
     assert [t for t in harmless if find(t)] == []
 
 
+DIGEST = "sha512-" + base64.b64encode(hashlib.sha512(b"x").digest()).decode()
+UUID = "123e4567-e89b-12d3-a456-426614174000"
+ULID = "01ARZ3NDEKTSV4RRFFQ69G5FAV"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"id={UUID}", f"https://x.com/objects/{UUID}", f"https://x.com/objects/{UUID}/items/{UUID.upper()}?a=b", f"integrity={DIGEST}", f'integrity="{DIGEST}" x',
+        f"request_id={UUID}&next=/home/page", f"build-{'0aF' * 13}1-linux", f"run={ULID}", f"logs/2024-01-01T00-00-00Z/worker/{UUID}.txt", "backup_20240101T101500Z_of_server",
+        "test_x86_64_abi_v2_f32_and_arm64_builds", "session_identifier=none_of_the_above_is_given", "=" * 40, "a=" * 30, "/" * 40,
+    ],
+)
+def test_known_forms_behind_keys_and_paths_are_no_findings(text):
+    c = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert secrets.random_spans(text, secrets.base_spans(text), c, secrets.MAX_CHARS_PER_TOKEN) == []
+
+
+def test_keys_behind_names_and_paths_are_found():
+    c = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    r = random.Random(12)
+    find = lambda t: [t[s:e] for s, _, e in secrets.random_spans(t, [], c, secrets.MAX_CHARS_PER_TOKEN)]
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    good = {"value": 0, "path": 0, "blob": 0}
+    for _ in range(100):
+        k = draw(string.ascii_letters, 32)
+        good["value"] += find(f"the_session_identifier_of_the_user={k}") == [k]
+        good["path"] += find(f"https://example.com/the/long/path/of/documents/{k}/index") == [k]
+        blob = base64.b64encode(r.randbytes(40)).decode()
+        good["blob"] += find(f"value={blob} {UUID}") == [blob]
+    assert min(good.values()) >= 97, good
+
+
+def brute_random(text, known, encoder, most):
+    """The same spans, worked out character by character with the tokenizer library."""
+    least = 20
+    alnum = set(string.ascii_letters + string.digits)
+    sign = alnum | set("+/_=-")
+    forms = [
+        *(f"[0-9a-fA-F]{{{n}}}" for n in (32, 40, 56, 64, 96, 128)), "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", "[0-7][0-9A-HJKMNP-TV-Z]{25}",
+        "sha(1|256|384|512)[-=][A-Za-z0-9+/]{20,}={0,2}", "[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}[0-9Z+-]*)?", "[0-9]{8}T[0-9]{4,6}Z?",
+    ]
+    free = [c in sign for c in text]
+    for s, _, e in known:
+        free[s:e] = [False] * (e - s)
+    at = 0
+    while at < len(text):  # harmless forms, leftmost and longest first, inside whole runs
+        ends = []
+        if text[at] in sign and (at == 0 or text[at - 1] not in alnum):
+            run_end = next((i for i in range(at, len(text)) if text[i] not in sign), len(text))
+            begin = next((i + 1 for i in range(at - 1, -1, -1) if text[i] not in sign), 0)
+            if run_end - begin >= least:
+                ends = [e for f in forms for e in range(at + 1, run_end + 1) if re.fullmatch(f, text[at:e]) and (e == run_end or text[e] not in alnum)]
+        if ends:
+            free[at : max(ends)] = [False] * (max(ends) - at)
+            at = max(ends)
+        else:
+            at += 1
+    run = [False] * len(text)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) >= least:
+            run[m.start() : m.end()] = [True] * len(m[0])
+    free = [a and b for a, b in zip(free, run, strict=True)] + [False]
+    out, start = [], None
+
+    def named(part):
+        pieces = re.split("[-_/]", part.removesuffix("/"))
+        return len(pieces) > 1 and all(re.fullmatch("[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}[a-z]{0,2}", p) for p in pieces)
+
+    def poor(part):
+        if not any(c in string.ascii_letters for c in part):
+            return False
+        words = [w for w in re.split("[^A-Za-z]", part) if len(w) > 1] if named(part) else []
+        if not words:
+            return len(part) <= most * len(encoder.encode_ordinary(part))
+        n = [len(encoder.encode_ordinary(w)) for w in words]
+        return len("".join(words)) <= most * sum(n) or "/" not in part and any(len(w) >= least and len(w) <= most * k for w, k in zip(words, n, strict=True))
+
+    for i, f in enumerate(free):
+        if f and start is None:
+            start = i
+        if not f and start is not None:
+            segment, j = text[start:i], 0
+            if len(segment) >= least:
+                body = segment.rstrip("=")
+                for piece in body.split("="):
+                    last = j + len(piece) == len(body)
+                    part = segment[j:] if last and piece else piece
+                    if len(part) >= least and piece:
+                        k, inside = j, []
+                        for name in part.split("/"):
+                            if least <= len(name) < len(part) and poor(name):
+                                inside.append((start + k, 3, start + k + len(name)))
+                            k += len(name) + 1
+                        if poor(part) and not (inside and named(part)):
+                            out.append((start + j, 3, start + j + len(part)))
+                        else:
+                            out += inside
+                    j += len(piece) + 1
+            start = None
+    return sorted(out)
+
+
+def test_random_spans_equal_brute_force(reference):
+    c = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    r = random.Random(13)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    parts = ["=", "==", "/", "-", "_", "+", " ", ".", "token=", "id=", "com/objects/", "internationalization", "word", "é", "2024-01-01", "10", "x86", UUID, ULID, DIGEST, "0aF" * 13 + "1"]
+    for _ in range(3000):
+        keys = [draw(string.ascii_letters, r.choice([8, 24])), draw(string.ascii_letters + string.digits, r.choice([8, 24, 40])), draw("0123456789abcdef", r.choice([8, 24, 32, 40]))]
+        text = "".join(r.choice([*parts, *keys]) for _ in range(r.randint(1, 9)))
+        known = secrets.base_spans(text)
+        assert secrets.random_spans(text, known, c, 1.9) == brute_random(text, known, reference, 1.9), text
+
+
+def test_many_keys_take_linear_time():
+    import time
+
+    c = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    r = random.Random(14)
+    keys = [f"token={r.randbytes(9).hex()} {''.join(r.choice(string.ascii_letters) for _ in range(24))}\n" for _ in range(16_000)]
+    took = []
+    for n in (4_000, 16_000):
+        text = "".join(keys[:n])
+        began = time.process_time()
+        spans = secrets.random_spans(text, secrets.base_spans(text), c, secrets.MAX_CHARS_PER_TOKEN)
+        took.append(time.process_time() - began)
+        assert len(spans) > 0.95 * n
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_kept_columns_give_way_to_outputs(spark):
+    df = spark.createDataFrame([(1, "token=abcdef1", "old", 5)], "doc_id long, text string, spans string, N_TOKENS long")
+    got = secrets.scan(df, ("spans",), keep=("spans", "N_TOKENS"))
+    assert got.columns == ["doc_id", "N_TOKENS", "spans"] and got.first().spans == "assign:0:13"
+    assert bpe.encode(df, ("n_tokens",), keep=("spans", "N_TOKENS")).columns == ["doc_id", "spans", "n_tokens"]
+    assert toxicity.score(df.withColumnRenamed("spans", "score"), toxicity.Model((), (), frozenset(), toxicity.UNTRAINED), ("doc_id", "score")).columns == ["doc_id", "score", "findings"]
+
+
 def test_redaction_covers_overlaps():
     text = "a password=0123456789abcdef01234567 b"
     spans = secrets.base_spans(text)
