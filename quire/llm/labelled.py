@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import ship, written
 
 
 def fold(key: Column, n: int) -> Column:
@@ -14,19 +14,20 @@ def fold(key: Column, n: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most about ``most`` labelled rows for which ``training``
-    holds, written once. Which rows are taken depends on their ids' hash only.
+    """(doc_id, text, label) of at most ``most`` labelled ids for which ``training`` holds,
+    written once: those whose hash is least, whatever else the table holds.
 
     An id labelled more than once counts as 1 if any of its labels is; null labels and
-    ids are left out. ``most`` bounds what is broadcast: the sampled ids and labels.
+    ids are left out; of an id's texts the one that sorts first is taken, null as empty.
+    ``most`` bounds what is broadcast: the sampled ids and labels.
     """
+    ship(docs.sparkSession)
     known = (
         labels.filter(training & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(most)
     )
-    n = known.count()
-    if n > most:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return written(rows.join(F.broadcast(known.limit(2 * most)), "doc_id"), "train")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    return written(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")), "train")

@@ -104,8 +104,8 @@ class Matcher:
         return found and found[:2]
 
     def nearest(self, word: str) -> tuple[str, int, int] | None:
-        """(term, edits, letters of the word that it takes) of the stem that begins the word,
-        else of the nearest term, else stem; a stem takes the shortest beginning as near."""
+        """(term, edits, letters of the word that it takes) of the term that is the word, else of the
+        longest stem that begins it, else of the nearest term, else stem; a stem takes the shortest beginning as near."""
         if len(self.states) > self.MOST_STATES or self.places > self.MOST_PLACES:
             self._forget()
         at, moves, stemmed = self.start, self.moves, self.stemmed
@@ -117,10 +117,11 @@ class Matcher:
             at = to
             if not at:
                 break
-            if stemmed[at] and (begun is None or stemmed[at][0] < begun[0]):
+            if stemmed[at] and (begun is None or stemmed[at][0] < begun[0] or not stemmed[at][0]):
                 begun, taken = stemmed[at], n
-                if not begun[0]:
-                    return begun[1], 0, n
+        if begun and not begun[0]:
+            exact = (self.term[n] for n, e in self.states[at] if not e and self.term[n])
+            return next(((t, 0, len(word)) for t in exact), (begun[1], 0, taken))
         best = None
         for node, e in self.states[at]:
             term = self.term[node]

@@ -1,7 +1,8 @@
 """Toxicity scores: a fuzzy lexicon, contexts, and a small logistic model.
 
-The lexicon is a fixed list of insults and the words and stems that labelled training
-documents show to go with toxicity, in any language. Words are matched by
+The lexicon is a fixed list of insults and the stems that labelled training documents
+show to go with toxicity, in any language, each with a strength: what a document's
+having it says for toxicity against what an insult says. Words are matched by
 ``lexicon.Matcher``, misspellings included. A finding counts less where its window of
 words shows that it is quoted or spoken about. Forms within an edit of a term, and
 beginnings within an edit of a stem, that clean training documents use as well are
@@ -10,11 +11,13 @@ ordinary words and are left out.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +40,18 @@ REPORTING = frozenset(
 )
 QUOTES = "\"“”«»„‟"
 
-#: Bounds of training: documents sampled, learned entries, and prefix lengths tried.
+#: Labelled documents sampled for training, and lengths of the beginnings of words tried as stems.
 TRAINING_ROWS = 10_000
-LEARNED = 500
-PREFIXES = range(4, 9)
-#: A learned entry is in this share of toxic documents among those that have it, and its
-#: toxic documents would arise by chance with a probability below e to the minus EVIDENCE.
-PRECISION = 0.95
-EVIDENCE = 12.0
-#: A document counts as covered with so many chosen entries; each must add so many documents.
+PREFIXES = range(2, 11)
+#: A learned stem is in this share of toxic documents among those that have it, and its count of them
+#: says so with this many nats against the share of all.
+MAJORITY = 0.45
+EVIDENCE = 6.5
+#: From this share on a stem may be misspelt.
+SURE = 0.95
+#: Nats by which a stem raises the odds of toxicity that count as much as an insult.
+FULL = 6.0
+#: A toxic document counts as covered with so many chosen stems; each must add so many documents.
 COVERS = 2
 NEW_DOCUMENTS = 4
 #: Words on each side that a context looks at, and what a quoted finding counts.
@@ -81,8 +87,18 @@ def prefix_counts(text: str) -> set[str]:
     return out
 
 
-def learn_terms(train: DataFrame) -> tuple[str, ...]:
-    """Stems that go with label 1 in ``train``, found from summed prefix counts."""
+class Stem(NamedTuple):
+    stem: str
+    strength: float = 1.0
+    sure: bool = True
+
+
+def learn_stems(train: DataFrame) -> tuple[Stem, ...]:
+    """Stems that go with label 1 in ``train``, from summed counts of documents.
+
+    Equal texts count once. The driver gets the beginnings with enough evidence, and
+    which of them each toxic document has: what the sampled documents hold, at most.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, list[int]] = {}
@@ -90,50 +106,54 @@ def learn_terms(train: DataFrame) -> tuple[str, ...]:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for p in prefix_counts(text):
                     got.setdefault(p, [0, 0])[y > 0] += 1
-            if len(got) > 500_000:
-                yield _counted(got)
-                got = {}
+                if len(got) > 500_000:
+                    yield _counted(got)
+                    got = {}
         yield _counted(got)
 
-    n, toxic = train.agg(F.count("*"), F.sum("label")).first()
-    if not toxic:
+    texts = train.groupBy("text").agg(F.max("label").alias("label"))
+    n, toxic = texts.agg(F.count("*"), F.count_if(F.col("label") > 0)).first()
+    if not toxic or toxic == n:
         return ()
-    chance = max(-math.log(toxic / n), 0.05)
+    t, c = F.col("toxic"), F.col("clean")
+    part = lambda k, share: F.when(k > 0, k * F.log(k / ((t + c) * share))).otherwise(0.0)
     sums = (
-        train.select("text", "label")
-        .mapInArrow(count, "prefix string, clean bigint, toxic bigint")
+        texts.mapInArrow(count, "prefix string, clean bigint, toxic bigint")
         .groupBy("prefix")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter((F.col("toxic") * chance >= EVIDENCE) & (F.col("toxic") >= PRECISION * (F.col("clean") + F.col("toxic"))))
+        .withColumn("evidence", part(t, toxic / n) + part(c, 1 - toxic / n))
+        .filter((F.col("evidence") >= EVIDENCE) & (t >= MAJORITY * (t + c)))
     )
-    rows = sums.orderBy(F.desc("toxic"), F.length("prefix"), "prefix").limit(20 * LEARNED).collect()
-    candidates = longest({r["prefix"]: r["toxic"] for r in rows})
+    rows = {r["prefix"]: r for r in sums.collect()}
+    candidates = frozenset(longest({p: r["toxic"] for p, r in rows.items()}))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             has = [sorted(prefix_counts(t) & candidates) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"has": pa.array(has, pa.list_(pa.string()))})
 
-    return chosen([r["has"] for r in train.filter("label > 0").select("text").mapInArrow(cover, "has array<string>").collect()])
+    has = [r["has"] for r in texts.filter("label > 0").select("text").mapInArrow(cover, "has array<string>").collect()]
+    picked = chosen(has, {p: rows[p]["evidence"] / rows[p]["toxic"] for p in candidates})
+    return tuple(_stem(p, rows[p]["clean"], rows[p]["toxic"], n - toxic, toxic) for p in picked)
 
 
-def longest(count: dict[str, int]) -> frozenset[str]:
-    """Of prefixes that begin one another, those that say most without losing documents."""
+def _stem(prefix: str, clean: int, toxic: int, all_clean: int, all_toxic: int) -> Stem:
+    raised = math.log((toxic + 0.5) / (all_toxic + 1) * (all_clean + 1) / (clean + 0.5))
+    return Stem(prefix, min(1.0, max(0.0, raised / FULL)), toxic >= SURE * (clean + toxic))
 
-    by_head: dict[str, list[str]] = {}
-    for p in count:
-        by_head.setdefault(p[: PREFIXES[0]], []).append(p)
-    out = set()
-    for group in by_head.values():
-        for p in group:
-            if not any(q != p and q.startswith(p) and count[q] >= 0.97 * count[p] for q in group):
-                out.add(p)
-    return frozenset(out)
 
+def longest(count: dict[str, int]) -> set[str]:
+    """Of beginnings of one another, those that say most without losing documents."""
+    out = set(count)
+    for p, n in count.items():
+        out.difference_update(q for k in range(1, len(p)) if (q := p[:k]) in count and n >= 0.97 * count[q])
+    return out
 
-def chosen(has: list[list[str]]) -> tuple[str, ...]:
+
+def chosen(has: list[list[str]], worth: dict[str, float]) -> list[str]:
     """Stems that cover toxic documents which those before don't: words that only copies
-    of one document share add nothing once its real terms are in."""
+    of one document share add nothing once its real terms are in. ``worth``: what a stem
+    says of each document. Gains only fall, so one that still leads when worked out anew is best."""
     holders: dict[str, set[int]] = {}
     for i, prefixes in enumerate(has):
         for p in prefixes:
@@ -141,16 +161,22 @@ def chosen(has: list[list[str]]) -> tuple[str, ...]:
     picked: list[str] = []
     covered: Counter = Counter()
     done: set[int] = set()
-    while holders and len(picked) < LEARNED:
-        best = max(sorted(holders), key=lambda p: len(holders[p] - done))
-        if len(holders[best] - done) < NEW_DOCUMENTS:
-            break
-        for i in holders.pop(best):
+    queue = [(-len(d) * worth[p], p) for p, d in holders.items()]
+    heapq.heapify(queue)
+    while queue:
+        was, p = heapq.heappop(queue)
+        new = len(holders[p] - done)
+        if new < NEW_DOCUMENTS:
+            continue
+        if -new * worth[p] > was:
+            heapq.heappush(queue, (-new * worth[p], p))
+            continue
+        for i in holders[p]:
             covered[i] += 1
             if covered[i] >= COVERS:
                 done.add(i)
-        picked.append(best)
-    return tuple(sorted(picked))
+        picked.append(p)
+    return sorted(picked)
 
 
 def _counted(got: dict[str, list[int]]) -> pa.RecordBatch:
@@ -168,16 +194,20 @@ class Finding:
     form: str  # the word as matched; of a stem, its beginning
     term: str
     edits: int
-    weight: float  # by its context
+    weight: float  # by its context and strength
 
 
 class Finder:
-    """Findings of a text; remembers a bounded number of words."""
+    """Findings of a text; remembers a bounded number of words of bounded length."""
 
     MOST_WORDS = 100_000
+    MOST_LETTERS = 64
 
-    def __init__(self, terms: tuple[str, ...], stems: tuple[str, ...], ordinary: frozenset[str] = frozenset()):
-        self.matcher, self.ordinary = Matcher(terms, stems, stem_edits_allowed), ordinary
+    def __init__(self, terms: tuple[str, ...], stems: tuple[Stem, ...], ordinary: frozenset[str] = frozenset()):
+        self.strength = {s.stem: s.strength for s in stems} | dict.fromkeys(terms, 1.0)
+        sure = frozenset(s.stem for s in stems if s.sure)
+        self.matcher = Matcher(terms, [s.stem for s in stems], lambda s: stem_edits_allowed(s) if s in sure else 0)
+        self.ordinary = ordinary
         self.known: dict[str, tuple[str, str, int] | None] = {}
 
     def lookup(self, word: str) -> tuple[str, str, int] | None:
@@ -190,9 +220,10 @@ class Finder:
                 term, edits, taken = near
                 if not (edits and form[:taken] in self.ordinary) and (found is None or edits < found[2]):
                     found = (form[:taken], term, edits)
-        if len(self.known) >= self.MOST_WORDS:
-            self.known.clear()
-        self.known[word] = found
+        if len(word) <= self.MOST_LETTERS:
+            if len(self.known) >= self.MOST_WORDS:
+                self.known.clear()
+            self.known[word] = found
         return found
 
     def find(self, text: str) -> tuple[list[Finding], int]:
@@ -203,9 +234,8 @@ class Finder:
         if not hits:
             return [], len(words)
         places = [(m.start(), m.end()) for m in WORD.finditer(lowered)]
-        return [
-            Finding(*hits[w], self.context(lowered, words, places, i)) for i, w in enumerate(words) if w in hits
-        ], len(words)
+        weight = lambda w, i: self.strength[hits[w][1]] * self.context(lowered, words, places, i)
+        return [Finding(*hits[w], weight(w, i)) for i, w in enumerate(words) if w in hits], len(words)
 
     @staticmethod
     def context(text: str, words: list[str], places: list[tuple[int, int]], i: int) -> float:
@@ -218,7 +248,7 @@ class Finder:
         told = any(words[j] in REPORTING for j in near)
         if tight or (within and told):
             return QUOTED
-        return 0.5 + QUOTED / 2 if within or (told and tight) else 1.0
+        return 0.5 + QUOTED / 2 if within else 1.0
 
 
 def features(found: list[Finding], n_words: int) -> list[float]:
@@ -253,7 +283,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray
 @dataclass
 class Model:
     terms: tuple[str, ...]
-    stems: tuple[str, ...]
+    stems: tuple[Stem, ...]
     ordinary: frozenset[str]
     weights: tuple[float, ...]
 
@@ -272,59 +302,44 @@ UNTRAINED = (4.0, 1.0, 2.0, -3.0)
 def train_model(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
     """The model of the labelled rows whose crc32(doc_id) mod 3 is not 1.
 
-    The driver gets the learned stems and, for each of at most ``training_rows`` sampled
-    documents, its findings of at most 200 different forms.
+    The driver gets the learned stems, the ordinary words near terms, and three numbers for
+    each of at most ``training_rows`` sampled documents.
     """
     train = labelled.sample(docs, labels, "toxic", labelled.fold(F.col("doc_id"), 3) != 1, training_rows)
-    stems = learn_terms(train)
+    rows = train.select("text", "label")
+    stems = learn_stems(train)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(INSULTS, stems)
         for batch in batches:
-            rows = []
+            uses: dict[str, list[int]] = {}
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits, n = finder.find(text)
-                tally: Counter = Counter()
-                for f in hits:
-                    tally[f.form, f.term, f.edits] += f.weight
-                top = tally.most_common(200)
-                rows.append(
-                    {"label": y, "n": n, "forms": [k[0] for k, _ in top], "terms": [k[1] for k, _ in top], "edits": [k[2] for k, _ in top], "weights": [v for _, v in top]}
-                )
-            yield pa.RecordBatch.from_pylist(rows, _FOUND)
-
-    got = train.select("text", "label").mapInArrow(
-        found, "label int, n bigint, forms array<string>, terms array<string>, edits array<int>, weights array<double>"
-    ).collect()
-    drop_written(train)
-    uses: dict[str, list[int]] = {}
-    for r in got:
-        for form, e in set(zip(r["forms"], r["edits"], strict=True)):
-            if e:
-                uses.setdefault(form, [0, 0])[r["label"] > 0] += 1
-    ordinary = frozenset(f for f, (clean, toxic) in uses.items() if clean and clean * 4 >= toxic)
-    y = np.array([min(1, max(0, r["label"])) for r in got], float)
-    if not len(y) or y.min() == y.max():
-        return Model(INSULTS, stems, ordinary, UNTRAINED)
-    x = np.array(
-        [
-            features(
-                [
-                    Finding(f, t, e, w)
-                    for f, t, e, w in zip(r["forms"], r["terms"], r["edits"], r["weights"], strict=True)
-                    if f not in ordinary or not e
-                ],
-                r["n"],
-            )
-            for r in got
-        ]
+                for form in {f.form for f in finder.find(text)[0] if f.edits}:
+                    uses.setdefault(form, [0, 0])[y > 0] += 1
+            yield _counted(uses)
+
+    used = (
+        rows.mapInArrow(misspelt, "prefix string, clean bigint, toxic bigint")
+        .groupBy("prefix")
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .filter("clean > 0 and clean * 4 >= toxic")
     )
-    return Model(INSULTS, stems, ordinary, tuple(fit_logistic(x, y).tolist()))
+    ordinary = frozenset(r["prefix"] for r in used.select("prefix").collect())
 
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(INSULTS, stems, ordinary)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict(
+                {"x": pa.array([features(*finder.find(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), "label": batch.column(1)}
+            )
 
-_FOUND = pa.schema(
-    [("label", pa.int32()), ("n", pa.int64()), ("forms", pa.list_(pa.string())), ("terms", pa.list_(pa.string())), ("edits", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))]
-)
+    # in an order of their own, so that the sums don't depend on how rows were dealt
+    got = sorted((*r["x"], r["label"] > 0) for r in rows.mapInArrow(described, "x array<double>, label int").collect())
+    drop_written(train)
+    y = np.array([r[-1] for r in got], float)
+    if not len(y) or y.min() == y.max():
+        return Model(INSULTS, stems, ordinary, UNTRAINED)
+    return Model(INSULTS, stems, ordinary, tuple(fit_logistic(np.array([r[:-1] for r in got]), y).tolist()))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
