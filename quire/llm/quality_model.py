@@ -3,7 +3,9 @@
 Document statistics are standardised and mapped to cosines of random projections,
 whose inner products approximate a Gaussian kernel. Ridge regression on them needs
 only sums over rows (the normal equations), which partitions add up; isotonic
-regression on rows set apart turns scores into probabilities.
+regression on rows set apart turns scores into probabilities. Training rows are dealt
+into BUCKETS by their ids' hash, and sums run over buckets in order and over ids
+within them, so that a model doesn't depend on how Spark deals rows.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import labelled
-from quire.llm.common import drop_written, table
+from quire.llm.common import drop_written, ship, table, written
 
 #: Training bound, features, kernel width in standard deviations, ridge, and the share of
 #: training rows (1 in CALIBRATION) set apart for calibration.
@@ -27,6 +30,9 @@ N_FOURIER = 256
 WIDTH = 4.0
 RIDGE = 1.0
 CALIBRATION = 4
+#: Parts of the training rows that are added up by themselves, and rows scored at once.
+BUCKETS = 8
+BLOCK = 64
 SEED = 20_250_101
 
 _CLASSES = np.zeros((256, 8))
@@ -83,14 +89,21 @@ class Model:
         return fourier((x - self.mean) / self.scale, self.directions, self.phases)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = self.fourier(x) @ self.weights
-        return np.clip(np.interp(raw, self.steps, self.values), 0, 1)
+        return np.clip(np.interp(weighted(self.fourier(x), self.weights), self.steps, self.values), 0, 1)
 
 
 def fourier(z: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
-    """Cosine features with a constant; single rows and blocks give the same numbers."""
-    waves = np.sqrt(2 / len(phases)) * np.cos(np.clip(z, -8, 8) @ directions + phases)
-    return np.hstack([waves, np.ones((len(z), 1))])
+    """Cosine features with a constant."""
+    z = np.clip(z, -8, 8)
+    angle = np.zeros((len(z), len(phases)))
+    for i in range(z.shape[1]):  # added one after another, so that a row's numbers don't depend on its block
+        angle += z[:, i : i + 1] * directions[i]
+    return np.hstack([np.sqrt(2 / len(phases)) * np.cos(angle + phases), np.ones((len(z), 1))])
+
+
+def weighted(f: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each row's sum under the weights, whatever block it is in."""
+    return (f * weights).sum(axis=1)
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,48 +127,47 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(px), np.maximum.accumulate(np.array(py))
 
 
-def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
-    """(statistics, label) by batch; texts are the first column, labels the second."""
-    for batch in batches:
-        if batch.num_rows:
-            yield np.array([statistics(t or "") for t in batch.column(0).to_pylist()]), batch.column(1).to_pylist()
+def described(train: DataFrame) -> DataFrame:
+    """(bucket, doc_id, apart, label, stats) of every training row, written: the texts are read once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = pa.array([statistics(t or "") for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], stats], names=["bucket", "doc_id", "apart", "label", "stats"])
 
-def summed(rows: DataFrame, parts, width: int) -> np.ndarray:
-    """The sum over all rows of what ``parts(batches)`` gives per partition, as a vector
-    of ``width`` numbers: partitions add up their rows, eight tasks add up partitions."""
+    by = lambda what, n: F.pmod(F.xxhash64("doc_id", F.lit(what)), F.lit(n))
+    rows = train.select("text", by("bucket", BUCKETS).alias("bucket"), "doc_id", (by("calibrate", CALIBRATION) == 0).alias("apart"), "label")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return written(rows.mapInArrow(run, f"bucket bigint, doc_id {kind}, apart boolean, label int, stats array<double>"), "stats")
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([parts(batches).tobytes()], pa.binary())})
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for batch in batches:
-            for x in batch.column(0):
-                total = total + np.frombuffer(x.as_py())
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+def summed(rows: DataFrame, part, width: int) -> np.ndarray:
+    """The sum of ``part(x, y)``, a vector of ``width`` numbers, over the buckets of ``rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        whole = pa.Table.from_batches(held) if held else None
+        for bucket in sorted(set(whole["bucket"].to_pylist())) if held else ():
+            own = whole.filter(pc.equal(whole["bucket"], bucket))
+            made = part(np.array(own["stats"].to_pylist()), np.array(own["label"].to_pylist(), float) > 0)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "sums": pa.array([made.tobytes()], pa.binary())})
 
-    partial = rows.mapInArrow(first, "sums binary").repartition(8).mapInArrow(second, "sums binary")
-    return sum((np.frombuffer(r["sums"]) for r in partial.collect()), np.zeros(width))
+    dealt = rows.select("bucket", "doc_id", "label", "stats").repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "doc_id")
+    got = dealt.select("bucket", "label", "stats").mapInArrow(run, "bucket bigint, sums binary").collect()
+    return sum((np.frombuffer(r["sums"]) for r in sorted(got, key=lambda r: r["bucket"])), np.zeros(width))
 
 
 def train_model(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> Model | None:
     """The model of the labelled rows whose crc32(doc_id) mod 4 is not 2; None if there
-    are none. The driver gets sums, and scores and labels of the calibration rows."""
+    are none. The driver gets sums by bucket, and scores and labels of the calibration rows."""
     train = labelled.sample(docs, labels, "quality", labelled.fold(F.col("doc_id"), 4) != 2, training_rows)
-    apart = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATION)) == 0
-    rows, held = (train.filter(c).select("text", "label") for c in (~apart, apart))
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(1 + 2 * N_STATS)
-        for x, _ in _stats_rows(batches):
-            out += np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
-        return out
-
-    sums = summed(rows, moments, 1 + 2 * N_STATS)
+    stats = described(train)
+    drop_written(train)
+    rows, held = stats.filter("not apart"), stats.filter("apart")
+    sums = summed(rows, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 1 + 2 * N_STATS)
     n = sums[0]
     if not n:
-        drop_written(train)
+        drop_written(stats)
         return None
     mean = sums[1 : 1 + N_STATS] / n
     scale = np.sqrt(np.maximum(sums[1 + N_STATS :] / n - mean**2, 1e-6))
@@ -164,26 +176,17 @@ def train_model(docs: DataFrame, labels: DataFrame, training_rows: int = TRAININ
     phases = random.uniform(0, 2 * np.pi, N_FOURIER)
     d = N_FOURIER + 1
 
-    def equations(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        gram, moment = np.zeros((d, d)), np.zeros(d)
-        for x, y in _stats_rows(batches):
-            f = fourier((x - mean) / scale, directions, phases)
-            gram += f.T @ f
-            moment += f.T @ (np.array(y, float) > 0)
-        return np.concatenate([gram.ravel(), moment])
+    def equations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        f = fourier((x - mean) / scale, directions, phases)
+        return np.concatenate([(f.T @ f).ravel(), f.T @ y])
 
     sums = summed(rows, equations, d * d + d)
     weights = np.linalg.solve(sums[: d * d].reshape(d, d) + RIDGE * np.eye(d), sums[d * d :])
-
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, y in _stats_rows(batches):
-            raw = fourier((x - mean) / scale, directions, phases) @ weights
-            yield pa.RecordBatch.from_pydict({"raw": pa.array(raw), "label": pa.array(y, pa.int32())})
-
-    got = held.mapInArrow(scores, "raw double, label int").collect()
-    drop_written(train)
+    got = held.select("label", "stats").collect()
+    drop_written(stats)
     if got:
-        steps, values = isotonic(np.array([r["raw"] for r in got]), np.array([min(1, max(0, r["label"])) for r in got], float))
+        x, y = np.array([r["stats"] for r in got]), np.array([r["label"] > 0 for r in got], float)
+        steps, values = isotonic(weighted(fourier((x - mean) / scale, directions, phases), weights), y)
     else:
         steps, values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
     return Model(mean, scale, directions, phases, weights, steps, values)
@@ -197,16 +200,15 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     repeated rows give repeated rows; no rows give none.
     """
     rows = docs.select(text, key)
+    ship(docs.sparkSession)
     kind = rows.schema[1].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if model is None:
-                made = np.full(batch.num_rows, 0.5)
-            else:
-                made = np.empty(batch.num_rows)
-                for i, value in enumerate(batch.column(0)):
-                    made[i] = model.score(np.array([statistics(value.as_py() or "")]))[0]
+            made = np.full(batch.num_rows, 0.5)
+            for i in range(0, batch.num_rows if model else 0, BLOCK):
+                texts = batch.column(0).slice(i, BLOCK)
+                made[i : i + BLOCK] = model.score(np.array([statistics(t.as_py() or "") for t in texts]))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made)], names=[key, "score"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, score double")

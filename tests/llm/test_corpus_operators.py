@@ -1,6 +1,8 @@
 """Joins, classifiers, rules, decontamination, licences and the pipeline."""
 
+import math
 import random
+import re
 from itertools import combinations
 
 import pytest
@@ -126,7 +128,7 @@ def test_stems_with_edits_equal_distances_of_beginnings():
 
 
 def test_misspelt_learned_terms_are_found():
-    f = toxicity.Finder((), ("bomentec", "réeuxle"), frozenset(["bomente"]))
+    f = toxicity.Finder((), (toxicity.Stem("bomentec"), toxicity.Stem("réeuxle")), frozenset(["bomente"]))
     text = "bomentecion bomemtecion bometecion bommentecion réeuxxle rééuxler"
     assert [x.edits for x in f.find(text)[0]] == [0, 1, 1, 1, 1, 1]
     assert f.find("bomentetion bomentets ordinary words")[0] == []
@@ -146,24 +148,129 @@ def test_quotation_weighs_less_than_abuse():
     assert [x.weight for x in abuse] == [1.0, 1.0] and [x.weight for x in quoted] == [toxicity.QUOTED]
 
 
-def accuracy(spark, scored, label):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+def held_out(spark, scored, label, sf):
+    """(predicted and labelled, labelled, predicted, all) held-out rows."""
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
     rows = scored.join(labels, "doc_id").filter("held_out").collect()
-    return sum(r.predicted == r[label] for r in rows) / len(rows)
+    return sum(r.predicted * r[label] for r in rows), sum(r[label] for r in rows), sum(r.predicted for r in rows), rows
 
 
-def test_toxicity_on_held_out_rows(spark):
-    scored = toxicity.op5_toxicity(spark, "/root/testdata/sf0.01")
-    assert accuracy(spark, scored, "toxic") >= 0.93
+@pytest.mark.parametrize("sf,recall,precision", [("sf0.01", 0.83, 0.95), ("sf0.1", 0.9, 0.95)])
+def test_toxicity_on_held_out_rows(spark, sf, recall, precision):
+    """At sf0.01 two of 18 toxic held-out documents are junk without a term, so 0.89 is the most."""
+    scored = toxicity.op5_toxicity(spark, f"/root/testdata/{sf}")
+    both, toxic, predicted, _ = held_out(spark, scored, "toxic", sf)
+    assert both >= recall * toxic and both >= precision * predicted
     assert scored.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
 def test_quality_on_held_out_rows(spark):
     scored = quality_model.op6_quality_model(spark, "/root/testdata/sf0.01")
-    assert accuracy(spark, scored, "quality") >= 0.95
+    rows = held_out(spark, scored, "quality", "sf0.01")[-1]
+    assert sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
     assert scored.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
+def brute_score(text, model):
+    """A text's score from edit distances to every term and stem, word by word."""
+    strength = {s.stem: s.strength for s in model.stems} | dict.fromkeys(model.terms, 1.0)
+    sure = {s.stem for s in model.stems if s.sure}
+    lowered = text.lower()
+    places = [(m.start(), m.end()) for m in re.finditer(r"[\w@$]+", lowered)]
+    words = [lowered[a:b] for a, b in places]
+    total = 0.0
+    for i, w in enumerate(words):
+        best = None
+        for form in toxicity.forms(w):
+            stems = [(0, -len(s), s, len(s)) for s in strength if s not in model.terms and form.startswith(s)]
+            exact = [(0, -99, t, len(t)) for t in model.terms if t == form]
+            fuzzy = []
+            if not exact and not stems:
+                for t in model.terms:
+                    if 0 < (e := edit_distance(form, t)) <= lexicon.edits_allowed(t):
+                        fuzzy.append((e, 0, t, len(form)))
+                for s in sure:
+                    for n in range(len(form) + 1):
+                        if lexicon.stem_edits_allowed(s) and (e := edit_distance(form[:n], s)) == 1:
+                            fuzzy.append((e, 1, s, n))
+            for e, _, t, n in sorted(exact + stems or fuzzy)[:1]:
+                if not (e and form[:n] in model.ordinary) and (best is None or e < best[1]):
+                    best = (t, e)
+        if best:
+            t, e = best
+            total += strength[t] * toxicity.Finder.context(lowered, words, places, i) * (1 if e == 0 else 1 - 1.2 * e / len(t))
+    x = [min(total, 1.0), math.log1p(total), min(10.0, 100 * total / max(len(words), 1)) / 10, 1.0]
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, sum(a * b for a, b in zip(x, model.weights, strict=True))))))
+
+
+def test_scores_equal_brute_force(spark):
+    stems = tuple(toxicity.Stem(s, w, w > 0.5) for s, w in (("bomente", 0.3), ("bomentec", 0.9), ("réeuxle", 0.8), ("kys", 0.7), ("tras", 0.2)))
+    model = toxicity.Model(("idiot", "trash", "disgusting"), stems, frozenset(["trasj"]), (2.0, 3.0, 1.0, -4.0))
+    r = random.Random(15)
+    parts = ["idiot", "idi0t", "idoit", "trash", "trasj", "trasher", "bomentex", "bomentecion", "bomentacion", "bometecion", "réeuxle", "kysx", "ky", "said", '"', "“", "word", "$", "disgsting"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", ", ", "", "\n"]) for _ in range(r.randint(0, 14))) for _ in range(400)] + [None, ""]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for row in got:
+        assert abs(row.score - brute_score(texts[row.doc_id] or "", model)) < 1e-9, texts[row.doc_id]
+
+
+def test_stems_are_learned_with_strengths(spark):
+    r = random.Random(16)
+    prose = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "zetas"]) + r.choice("abcdefgh") for _ in range(n))
+    rows = [(i, f"{prose(20)} vilewo{r.choice('abc')}d", 1) for i in range(40)] + [(100 + i, prose(30) + (" semiword" if i % 8 == 0 else ""), 0) for i in range(300)]
+    rows += [(500 + i, f"{prose(10)} semiword{r.choice('xyz')}", 1) for i in range(40)] + [(700 + i, "only copies of this one have uniquely", 1) for i in range(50)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    stems = {s.stem: s for s in toxicity.learn_stems(train)}
+    assert any(s.startswith("vilewo") for s in stems) and any(s.startswith("semiword") for s in stems)
+    assert not any(s.startswith(("uniq", "only", "copi", "alpha", "beta")) for s in stems)
+    vile = max(s.strength for p, s in stems.items() if p.startswith("vilewo"))
+    assert vile > stems["semiword"].strength and not stems["semiword"].sure
+
+
+def test_samples_are_the_least_hashes(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)] + [(5, "a"), (5, "a"), (None, "x"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(8, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    rows = labelled.sample(docs, labels, "toxic", F.lit(True), 20).collect()
+    least = [r.doc_id for r in labels.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(20).collect()]
+    assert sorted(r.doc_id for r in rows) == sorted(least)
+    whole = {r.doc_id: r for r in labelled.sample(docs, labels, "toxic", F.lit(True), 1000).collect()}
+    assert len(whole) == 300 and whole[5].text == "a" and whole[7].text == "" and whole[8].label == 1
+
+
+def test_ridge_and_isotonic_fit_equal_literal_versions(spark):
+    import numpy as np
+
+    r = random.Random(17)
+    texts = [(i, " ".join(r.choice(["word", "Word!", "x", "##", "longerword\n"]) for _ in range(r.randint(0, 60)))) for i in range(400)]
+    labels = [(i, int(t.count("#") < 10)) for i, t in texts]
+    docs, marks = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    m = quality_model.train_model(docs, marks)
+    again = quality_model.train_model(docs.repartition(7), marks.repartition(3))
+    assert all((getattr(m, f) == getattr(again, f)).all() for f in ("mean", "scale", "weights", "steps", "values"))
+    parts = docs.select("doc_id", (labelled.fold(F.col("doc_id"), 4) != 2).alias("fit"), (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0).alias("apart")).collect()
+    ids = {k: [p.doc_id for p in parts if p.fit and p.apart == k] for k in (False, True)}
+    table = {k: np.array([quality_model.statistics(texts[i][1]) for i in v]) for k, v in ids.items()}
+    x = table[False]
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, np.sqrt(np.maximum(x.var(0), 1e-6)))
+    waves = lambda x: np.hstack([np.sqrt(2 / 256) * np.cos(np.clip((x - m.mean) / m.scale, -8, 8) @ m.directions + m.phases), np.ones((len(x), 1))])
+    f, y = waves(x), np.array([labels[i][1] for i in ids[False]])
+    stacked = np.vstack([f, np.eye(257)])  # ridge as least squares with a row for each weight
+    assert np.allclose(m.weights, np.linalg.lstsq(stacked, np.concatenate([y, np.zeros(257)]), rcond=None)[0], atol=1e-6)
+    raw, y = waves(table[True]) @ m.weights, np.array([labels[i][1] for i in ids[True]], float)
+    order = np.argsort(raw)
+    s, t = raw[order], y[order]
+    n = len(s)
+    mean = lambda a, b: t[a : b + 1].mean()
+    fit = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]  # the max-min form of isotonic regression
+    for i in range(n):
+        pool = [j for j in range(n) if abs(fit[j] - fit[i]) < 1e-12]
+        assert abs(np.interp(s[i], m.steps, m.values) - (t[pool].sum() + 0.5) / (len(pool) + 1)) < 1e-6
+    scored = {r.doc_id: r.score for r in quality_model.score(docs, m).collect()}
+    assert all(abs(scored[i] - np.clip(np.interp(waves(np.array([quality_model.statistics(t)])) @ m.weights, m.steps, m.values), 0, 1)[0]) < 1e-9 for i, t in texts)
+    single = {i: m.score(np.array([quality_model.statistics(t)]))[0] for i, t in texts}
+    assert scored == single
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
