@@ -145,14 +145,19 @@ def canonical_kind(word: Column) -> Column:
     return F.when(lowered.startswith("fig"), "figure").when(lowered.startswith("tab"), "table").otherwise("equation")
 
 
+def label_number(digits: Column) -> Column:
+    """A label's number as its digits without leading zeros, whatever its length."""
+    return F.regexp_replace(digits, "^0+(?=.)", "")
+
+
 def references(text: Column) -> Column:
-    """The distinct artifacts that a passage names: array of (kind, num)."""
+    """The distinct artifacts that a passage names: array of (kind, num), num in digits."""
     mentions = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
 
     def labels(mention: Column) -> Column:
         kind = canonical_kind(F.regexp_extract(mention, REFERENCE, 1))
         numbers = F.regexp_extract_all(F.regexp_extract(mention, REFERENCE, 2), F.lit("([0-9]+)"), F.lit(1))
-        return F.transform(numbers, lambda n: F.struct(kind.alias("kind"), n.cast("decimal(38,0)").alias("num")))
+        return F.transform(numbers, lambda n: F.struct(kind.alias("kind"), label_number(n).alias("num")))
 
     return F.array_distinct(F.flatten(F.transform(mentions, labels)))
 
@@ -165,7 +170,7 @@ def caption_label(caption: Column) -> Column:
     return F.when(
         bare.rlike(opening),
         F.struct(
-            canonical_kind(F.regexp_extract(bare, opening, 1)).alias("kind"), number.cast("decimal(38,0)").alias("num")
+            canonical_kind(F.regexp_extract(bare, opening, 1)).alias("kind"), label_number(number).alias("num")
         ),
     )
 

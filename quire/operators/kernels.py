@@ -6,9 +6,12 @@ A box is (x0, y0, x1, y1) in points, origin top left.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field, replace
 
+from quire.functions import text as X
+
 Box = tuple[float, float, float, float]
 
 # fixed values
@@ -25,9 +28,9 @@ CAPTION_REACH, CAPTION_OVERLAP = 24.0, 0.5
 EQUATION_RATIO = 0.5
 DEFAULT_BODY_SIZE = 10.0
 
-# fixed values: how captions begin
-CAPTION = re.compile(r"^\s*(figure|fig\.?|table|tbl\.?)\s*\d+\s*(?:[:.–—-]|(?-i:[A-Z])|$)", re.I)
-TABLE_CAPTION = re.compile(r"^\s*(table|tbl\.?)\s*\d+", re.I)
+# patterns are Unicode-aware in Python without a flag
+CAPTION = re.compile(X.CAPTION.replace("(?iU)", "(?i)"))
+TABLE_CAPTION = re.compile(X.TABLE_CAPTION.replace("(?iU)", "(?i)"))
 
 
 @dataclass
@@ -67,20 +70,68 @@ def distance(a: Box, b: Box) -> float:
     return max(b[0] - a[2], a[0] - b[2], b[1] - a[3], a[1] - b[3], 0.0)
 
 
+class Grid:
+    """Boxes by number, found again by the cells that they and their ``reach`` cover. Those
+    that cover very many cells stand in a list of their own."""
+
+    MOST_CELLS = 4096
+
+    def __init__(self, reach: float):
+        self.reach, self.side = reach, 4 * max(reach, 1.0)
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        self.covered: dict[int, tuple[int, int, int, int]] = {}
+        self.wide: dict[int, None] = {}
+
+    def _range(self, box: Box, reach: float) -> tuple[int, int, int, int] | None:
+        ends = (box[0] - reach, box[1] - reach, box[2] + reach, box[3] + reach)
+        if not all(map(math.isfinite, ends)):
+            return None
+        i0, j0, i1, j1 = (math.floor(x / self.side) for x in ends)
+        return (i0, j0, i1, j1) if (abs(i1 - i0) + 1) * (abs(j1 - j0) + 1) <= self.MOST_CELLS else None
+
+    def put(self, number: int, box: Box) -> None:
+        """Stands for ``box`` from now on, which holds the box that the number stood for."""
+        if number in self.wide:
+            return
+        now, was = self._range(box, self.reach), self.covered.get(number)
+        if now is None:
+            self.wide[number] = None
+            return
+        if now == was:
+            return
+        self.covered[number] = now
+        for i in range(now[0], now[2] + 1):
+            for j in range(now[1], now[3] + 1):
+                if was is None or not (was[0] <= i <= was[2] and was[1] <= j <= was[3]):
+                    self.cells.setdefault((i, j), []).append(number)
+
+    def near(self, box: Box, boxes: list[tuple[Box, list[int]]]) -> int | None:
+        """The least number whose box in ``boxes`` is within reach."""
+        over = self._range(box, 0.0)
+        if over is None:
+            found = range(len(boxes))
+        else:
+            found = {n for i in range(over[0], over[2] + 1) for j in range(over[1], over[3] + 1) for n in self.cells.get((i, j), ())}
+            found.update(self.wide)
+        return min((n for n in found if near(box, boxes[n][0], self.reach)), default=None)
+
+
 def clusters(boxes: list[Box], reach: float) -> list[tuple[Box, list[int]]]:
     """Groups of boxes that are within ``reach``, directly or through a group's box; each
     with its members. Passes repeat until one joins nothing. A group stands where its
-    first member stood in that pass."""
+    first member stood in that pass, and takes a box before later groups do."""
     groups = [(b, [i]) for i, b in enumerate(boxes)]
     while True:
         out: list[tuple[Box, list[int]]] = []
+        grid = Grid(reach)
         for b, members in groups:
-            for k, (host, hosted) in enumerate(out):
-                if near(b, host, reach):
-                    out[k] = (union(host, b), hosted + members)
-                    break
-            else:
+            k = grid.near(b, out)
+            if k is None:
+                k = len(out)
                 out.append((b, members))
+            else:
+                out[k] = (union(out[k][0], b), out[k][1] + members)
+            grid.put(k, out[k][0])
         if len(out) == len(groups):
             return out
         groups = out

@@ -66,12 +66,19 @@ def page_rows(spans: DataFrame, images: DataFrame, drawings: DataFrame, pages: D
     return pages.join(blocks, PAGE, "left").join(drawn, PAGE, "left").filter("blocks is not null or drawings is not null")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], pages: int = 32) -> Iterator[pa.RecordBatch]:
+    """A few pages at a time, so that a worker holds no more of them as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, pages):
+            yield batch.slice(start, pages)
+
+
 def page_blocks(rows: DataFrame) -> DataFrame:
     """(paper_id, page, pos, and a block's columns): what the kernels make of each page."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             out = []
             for row in batch.to_pylist():
                 blocks = [_block(b) for b in row["blocks"] or ()]
@@ -148,7 +155,7 @@ def _per_page(rows: DataFrame, make) -> DataFrame:
     schema = pa.schema([("paper_id", pa.string()), ("page", pa.int32()), ("made", pa.list_(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             out = []
             for row in batch.to_pylist():
                 made = [dict(zip(("x0", "y0", "x1", "y1", "text"), (*box, text), strict=True)) for box, text in make(row)]

@@ -10,6 +10,7 @@ from quire.functions import text as X
 
 # fixed values
 CHUNK_PREVIEW, CHUNK_CHARS = 4, 210
+TILE_CHARS, LINK_CHARS, NO_CAPTION = 120, 90, "No caption printed beside it."
 ARTIFACT_LIMIT, LINK_PREVIEW, PAGE_LINKS, THUMBNAILS, COMPARE_LIMIT, COMPARE_CHARS = 8, 4, 10, 12, 12, 260
 
 
@@ -75,6 +76,20 @@ def artifact_summary(artifacts: DataFrame) -> DataFrame:
     )
 
 
+def artifact_tiles(artifacts: DataFrame, n: int = ARTIFACT_LIMIT) -> DataFrame:
+    """(paper_id, place, artifact_type, page, caption, image_path) of each paper's first artifacts. A
+    missing caption is said to be missing; a path is null where nothing was cropped."""
+    place = F.substring_index("artifact_id", "::", -1).cast("int")
+    return artifacts.withColumn("place", place).filter(F.col("place") < n).select(
+        "paper_id",
+        "place",
+        "artifact_type",
+        (F.col("bbox.page") + 1).alias("page"),
+        F.when(F.col("caption") == "", NO_CAPTION).otherwise(F.substring("caption", 1, TILE_CHARS)).alias("caption"),
+        "image_path",
+    )
+
+
 def link_stats(artifacts: DataFrame, chunks: DataFrame) -> DataFrame:
     """(paper_id, artifacts, linked, unlinked, mentions, citing)."""
     a = artifacts.groupBy("paper_id").agg(
@@ -103,6 +118,26 @@ def keyword_in_context(artifacts: DataFrame, chunks: DataFrame) -> DataFrame:
     ).select("paper_id", "artifact_id", "chunk_id", "s.*")
 
 
+def link_previews(artifacts: DataFrame, chunks: DataFrame, n: int = LINK_PREVIEW) -> DataFrame:
+    """(paper_id, place, artifact_type, page, caption, chunk, section, before, marked, after): of each paper's
+    first linked artifacts the first passage that names them, around the mention."""
+    number = F.substring_index("artifact_id", "::", -1).cast("int")
+    linked = Window.partitionBy("paper_id").orderBy(number)
+    first = (
+        artifacts.filter(F.size("linked_chunk_ids") > 0)
+        .withColumn("place", F.row_number().over(linked) - 1)
+        .filter(F.col("place") < n)
+        .select(
+            "paper_id", "place", "artifact_type", (F.col("bbox.page") + 1).alias("page"), F.substring("caption", 1, LINK_CHARS).alias("caption"),
+            X.caption_label(F.col("caption")).alias("label"), F.get("linked_chunk_ids", 0).alias("chunk_id"),
+        )
+    )
+    named = chunks.select("paper_id", "chunk_id", "text", F.col("order_index").alias("chunk"), F.replace("section", F.lit("_"), F.lit(" ")).alias("section"))
+    return first.join(named, ["paper_id", "chunk_id"]).withColumn("s", X.snippet(F.col("text"), F.col("label"))).select(
+        "paper_id", "place", "artifact_type", "page", "caption", "chunk", "section", "s.*"
+    )
+
+
 def headline(regions: DataFrame, chunks: DataFrame, artifacts: DataFrame, baseline: DataFrame) -> DataFrame:
     """(paper_id, regions, sections, chunks, placed, artifacts, mid-word shares of both runs)."""
     mid = lambda df, name: df.groupBy("paper_id").agg(
@@ -145,13 +180,19 @@ def comparison(baseline: DataFrame, chunks: DataFrame, n: int = COMPARE_LIMIT) -
 
 
 def overlay(regions: DataFrame, images: DataFrame) -> DataFrame:
-    """(paper_id, page, badge, region_type, px0, py0, px1, py1): boxes to draw, numbered from 1."""
+    """(paper_id, page, badge, region_type, px0, py0, px1, py1): boxes to draw, numbered on each page
+    from 1 in reading order."""
     s = G.scale(F.col("dpi"))
     px = lambda c: F.round(F.col(f"bbox.{c}") * s, 3).alias(f"p{c}")
     i = images.select("paper_id", F.col("page_index").alias("page"), "dpi")
-    return regions.withColumn("page", F.col("bbox.page")).join(i, ["paper_id", "page"]).select(
-        "paper_id", "page", (F.col("order_index") + 1).alias("badge"), "region_type", *[px(c) for c in ("x0", "y0", "x1", "y1")]
-    )
+    on_page = Window.partitionBy("paper_id", "page").orderBy("order_index")
+    placed = regions.withColumn("page", F.col("bbox.page")).withColumn("badge", F.row_number().over(on_page))
+    return placed.join(i, ["paper_id", "page"]).select("paper_id", "page", "badge", "region_type", *[px(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def overlay_legend(regions: DataFrame) -> DataFrame:
+    """(paper_id, page, region_type, regions): what an overlay's legend counts, kinds that a page lacks left out."""
+    return regions.groupBy("paper_id", F.col("bbox.page").alias("page"), "region_type").agg(F.count("*").alias("regions"))
 
 
 def gallery(images: DataFrame) -> DataFrame:
@@ -198,6 +239,13 @@ def page_lookup(images: DataFrame, paper_id: str, page: int) -> DataFrame:
     return _looked_up(found)
 
 
+def overlay_lookup(regions: DataFrame, images: DataFrame, paper_id: str, page: int) -> DataFrame:
+    """(status, image_path) of the page that an overlay is drawn on: 200, or 404 without an image or a region."""
+    on_page = (F.col("paper_id") == paper_id) & (F.col("bbox.page") == page)
+    found = images.filter((F.col("paper_id") == paper_id) & (F.col("page_index") == page)).select("paper_id", "image_path")
+    return _looked_up(found.join(regions.filter(on_page).select("paper_id"), "paper_id", "left_semi").select("image_path"))
+
+
 def artifact_lookup(artifacts: DataFrame, paper_id: str, place: int) -> DataFrame:
     """(status, image_path) of the artifact at a place in its paper's list: 200, or 404 if the
     place is past the end or the artifact wasn't cropped."""

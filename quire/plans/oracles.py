@@ -12,19 +12,24 @@ from quire.functions import text as X
 from quire.plans.synthetic import HEADINGS
 
 _NAMES = "[" + ", ".join(f"'{h}'" for h in HEADINGS) + "]"
-_CAPTION = r"(?i)^\s*(figure|fig\.?|table|tbl\.?)\s*\d+\s*([:.–—-]|$)"
-_CAPTION_CAPITAL = r"^\s*([Ff][Ii][Gg][Uu][Rr][Ee]|[Ff][Ii][Gg]\.?|[Tt][Aa][Bb][Ll][Ee]|[Tt][Bb][Ll]\.?)\s*\d+\s*[A-Z]"
-_REFERENCE = r"(?i)\b(figures|figure|figs|fig|tables|table|tabs|tab|equations|equation|eqs|eq)\.?\s*([0-9]+(?:\s*(?:,|and|&)\s*[0-9]+)*)"
+# in RE2 the classes are of ASCII and U would mean ungreedy
+_CAPTION, _TABLE_CAPTION, _REFERENCE = (p.replace("(?iU)", "(?i)") for p in (X.CAPTION, X.TABLE_CAPTION, X.REFERENCE))
 
 
 def _is_caption(c: str) -> str:
-    return f"(regexp_matches({c}, '{_CAPTION}') OR regexp_matches({c}, '{_CAPTION_CAPITAL}'))"
+    return f"regexp_matches({c}, '{_CAPTION}')"
 
 
 def _strip(c: str) -> str:
     return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 
 
+def _below(c: str, n: int) -> str:
+    """A plain comparison of a row number; DuckDB 2.0 loses rows where it turns one of whole
+    numbers into a top-n over the window."""
+    return f"CAST({c} AS DOUBLE) < {n}"
+
+
 def _words(c: str) -> str:
     return rf"len(regexp_extract_all({c}, '\S+'))"
 
@@ -52,12 +57,12 @@ def _section(c: str) -> str:
 SHARED = {
     "ln": "SELECT 'doc-' || doc_id AS paper_id, CAST(i - 1 AS INTEGER) AS i, raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)",
     "pg": "SELECT DISTINCT paper_id, CAST(p AS INTEGER) AS page FROM (SELECT paper_id, unnest(range(0, max(i) // 12 + 1)) AS p FROM ln GROUP BY paper_id)",
-    "tb0": f"""SELECT paper_id, i // 12 AS page, (i % 12) * 2 AS pos, i, raw, (i % 12) // 6 AS col, i % 12 % 6 AS row, i // 9 AS k, i % 27 = 0 AS wide,
+    "tb0": f"""SELECT paper_id, i // 12 AS page, (i % 12) * 2 AS pos, i, CASE WHEN i % 9 = 8 THEN concat_ws(' ', raw, lead(raw) OVER (PARTITION BY paper_id ORDER BY i)) ELSE raw END AS raw, (i % 12) // 6 AS col, i % 12 % 6 AS row, i // 9 AS k, i % 27 = 0 AS wide,
   CASE WHEN i % 9 = 0 THEN 'heading' WHEN i % 12 = 5 THEN 'caption' WHEN i % 5 = 2 THEN 'citing' ELSE 'body' END AS role,
   CASE WHEN (i // 12) % 2 = 0 THEN 'Figure' ELSE 'Table' END AS word, ({_NAMES})[(i // 9) % {len(HEADINGS)} + 1] AS heading FROM ln""",
     "tb": r"""SELECT paper_id, page, pos, i, role, CASE WHEN role = 'heading' AND wide OR col = 0 THEN 54.0 ELSE 321.0 END::DOUBLE AS x0, (100 + row * 80)::DOUBLE AS y0,
   CASE WHEN role = 'heading' AND wide THEN 558.0 WHEN col = 0 THEN 291.0 ELSE 558.0 END::DOUBLE AS x1, (140 + row * 80)::DOUBLE AS y1,
-  CASE WHEN i = 0 THEN substring(raw, 1, 60) WHEN role = 'heading' THEN (k + 1) || '. ' || heading WHEN role = 'caption' THEN word || ' ' || (page + 1) || ': ' || raw
+  CASE WHEN i = 0 THEN raw WHEN role = 'heading' THEN (k + 1) || '. ' || heading WHEN role = 'caption' THEN word || ' ' || (page + 1) || ': ' || raw
     WHEN role = 'citing' THEN raw || ' as shown in ' || word || ' ' || (page + 1) ELSE raw END AS text,
   CASE WHEN role = 'heading' THEN 12.0 ELSE 9.0 END::DOUBLE AS font_size, CASE WHEN role = 'heading' THEN 1.0 ELSE 0.0 END::DOUBLE AS bold_ratio
   FROM tb0""",
@@ -77,7 +82,7 @@ SHARED = {
     "ord": "SELECT * EXCLUDE (edges), row_number() OVER (PARTITION BY paper_id ORDER BY page, band, spans DESC, column_index, y0, pos) - 1 AS order_index FROM ord1",
     # which captions name which figure
     "ck0": f"SELECT c.paper_id, c.page, f.pos, c.text, row_number() OVER (PARTITION BY c.paper_id, c.page ORDER BY greatest(f.y0 - c.y1, c.y0 - f.y1, 0), c.pos, f.pos) AS rank FROM tx c JOIN fg f USING (paper_id, page) WHERE {_is_caption('c.text')} AND (least(c.x1, f.x1) - greatest(c.x0, f.x0)) / greatest(c.x1 - c.x0, 1) >= 0.5 AND greatest(f.y0 - c.y1, c.y0 - f.y1, 0) <= 24",
-    "ck": r"SELECT paper_id, page, pos, CASE WHEN regexp_matches(text, '(?i)^\s*(table|tbl\.?)\s*\d+') THEN 'table' ELSE 'figure' END AS kind FROM ck0 WHERE rank = 1",
+    "ck": f"SELECT paper_id, page, pos, CASE WHEN regexp_matches(text, '{_TABLE_CAPTION}') THEN 'table' ELSE 'figure' END AS kind FROM ck0 WHERE rank = 1",
     "al": "SELECT paper_id, page, pos, x0, y0, x1, y1, text, font_size, bold_ratio, false AS image, NULL::VARCHAR AS kind FROM tx UNION ALL SELECT paper_id, page, pos, x0, y0, x1, y1, '', NULL, 0.0, true, kind FROM fg LEFT JOIN ck USING (paper_id, page, pos)",
     "bs": "SELECT paper_id, page, median(font_size) AS body_size FROM (SELECT paper_id, page, font_size, unnest(range(0, length(" + _strip("text") + "))) FROM al WHERE NOT image) GROUP BY ALL",
     "cl": rf"""SELECT ord.*, body_size, CASE WHEN image THEN coalesce(kind, 'figure') WHEN {_is_caption('text')} THEN 'caption'
@@ -105,10 +110,27 @@ SHARED = {
     # artifacts: one figure or table a page at most, so nearest captions need no greedy matching
     "cp": "SELECT paper_id, a.region_id, trim(c.text) AS caption, row_number() OVER (PARTITION BY a.paper_id, a.page ORDER BY greatest(greatest(c.x0 - a.x1, a.x0 - c.x1, 0), greatest(c.y0 - a.y1, a.y0 - c.y1, 0)), a.region_id, c.region_id) AS rank FROM rg a JOIN rg c USING (paper_id, page) WHERE a.image AND c.region_type = 'caption' AND (least(a.x1, c.x1) - greatest(a.x0, c.x0)) / least(a.x1 - a.x0, c.x1 - c.x0) >= 0.5",
     "ar": "SELECT *, paper_id || '::artifact::' || n AS artifact_id FROM (SELECT rg.*, coalesce(caption, '') AS caption, row_number() OVER (PARTITION BY rg.paper_id ORDER BY order_index) - 1 AS n, row_number() OVER (PARTITION BY rg.paper_id, region_type ORDER BY order_index) AS k FROM rg LEFT JOIN (SELECT * FROM cp WHERE rank = 1) cp ON cp.region_id = rg.region_id WHERE image)",
-    "ref": rf"""SELECT DISTINCT paper_id, id, CASE WHEN lower(m) LIKE 'fig%' THEN 'figure' WHEN lower(m) LIKE 'tab%' THEN 'table' ELSE 'equation' END AS kind, CAST(n AS BIGINT) AS num FROM
+    "ref": rf"""SELECT DISTINCT paper_id, id, CASE WHEN lower(m) LIKE 'fig%' THEN 'figure' WHEN lower(m) LIKE 'tab%' THEN 'table' ELSE 'equation' END AS kind, regexp_replace(n, '^0+(.)', '\1') AS num FROM
   (SELECT paper_id, id, m, unnest(regexp_extract_all(regexp_extract(m, '{_REFERENCE}', 2), '[0-9]+')) AS n FROM (SELECT paper_id, id, unnest(regexp_extract_all(text, '{_REFERENCE}')) AS m FROM cited))""",
-    "lk": rf"""SELECT a.paper_id, artifact_id, r.id AS chunk_id FROM (SELECT *, CASE WHEN lower(caption) LIKE 'fig%' THEN 'figure' ELSE 'table' END AS kind2, CAST(regexp_extract(caption, '[0-9]+') AS BIGINT) AS num2 FROM ar WHERE regexp_matches(caption, '(?i)^(figure|fig|table|tab)s?\.?\s*[0-9]+')) a
+    "lk": rf"""SELECT a.paper_id, artifact_id, r.id AS chunk_id FROM (SELECT *, CASE WHEN lower(caption) LIKE 'fig%' THEN 'figure' ELSE 'table' END AS kind2, regexp_replace(regexp_extract(caption, '[0-9]+'), '^0+(.)', '\1') AS num2 FROM ar WHERE regexp_matches(caption, '(?i)^(figure|fig|table|tab)s?\.?\s*[0-9]+')) a
   JOIN ref r ON r.paper_id = a.paper_id AND r.kind = a.kind2 AND r.num = a.num2""",
+    # each artifact's first citing chunk, the pieces between mentions, and the first mention that names it
+    "lf": "SELECT * FROM (SELECT a.paper_id, a.artifact_id, a.n, a.region_type, a.page, a.caption, c.chunk_id, c.order_index AS chunk, c.section, FLAT AS t, KIND AS kind, NUM AS num, row_number() OVER (PARTITION BY a.artifact_id ORDER BY c.order_index) AS link FROM ar a JOIN lk ON lk.artifact_id = a.artifact_id JOIN ch c ON c.chunk_id = lk.chunk_id) WHERE link = 1",
+    "lm": rf"SELECT *, regexp_extract_all(t, '{_REFERENCE}') AS ms, string_split_regex(t, '{_REFERENCE}') AS ps FROM lf",
+    "ln2": rf"SELECT *, list_position(list_transform(ms, lambda m: CASE WHEN lower(m) LIKE 'fig%' THEN 'figure' WHEN lower(m) LIKE 'tab%' THEN 'table' ELSE 'equation' END = kind AND list_contains(list_transform(regexp_extract_all(regexp_extract(m, '{_REFERENCE}', 2), '[0-9]+'), lambda d: regexp_replace(d, '^0+(.)', '\1')), num)), true) AS j FROM lm",
+    "lp": "SELECT *, length(t) AS len, list_sum(list_transform(ps[1:j], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:j - 1], lambda m: length(m))), 0) AS beg, length(ms[j]) AS k FROM ln2",
+    "ls": "SELECT *, CASE WHEN greatest(0, beg - 62) > 0 THEN '… ' ELSE '' END || substring(t, CAST(greatest(0, beg - 62) AS BIGINT) + 1, CAST(beg - greatest(0, beg - 62) AS BIGINT)) AS before, ms[j] AS marked, substring(t, CAST(beg + k AS BIGINT) + 1, CAST(least(len, beg + k + 74) - beg - k AS BIGINT)) || CASE WHEN least(len, beg + k + 74) < len THEN ' …' ELSE '' END AS after FROM lp",
+    # the lines before any recognised section, folded to a title
+    "fr0": rf"SELECT paper_id, order_index, region_type = 'heading' AS heading, t, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) >= 4 AND t = upper(t) AS shouted, font_size, y0, y1 FROM (SELECT *, FLATTEXT AS t, max(CAST(section <> 'title' AS INTEGER)) OVER (PARTITION BY paper_id ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gone FROM rg) WHERE gone = 0 AND NOT (x1 > x0 AND y1 - y0 > x1 - x0)",
+    "fr": "SELECT *, t <> '' AND CASE WHEN bool_or(heading) OVER (PARTITION BY paper_id) THEN heading ELSE shouted END AS fits, row_number() OVER (PARTITION BY paper_id ORDER BY order_index) AS k FROM fr0",
+    "ft": """SELECT DISTINCT paper_id, 0::BIGINT AS k, '' AS title, NULL::DOUBLE AS size, 0.0::DOUBLE AS bottom, false AS done FROM fr
+  UNION ALL SELECT f.paper_id, x.k, CASE WHEN f.done OR (f.title = '' AND NOT (x.fits AND length(x.t) <= 200)) THEN f.title WHEN f.title = '' THEN x.t WHEN GOES THEN f.title || ' ' || x.t ELSE f.title END,
+    CASE WHEN NOT f.done AND f.title = '' AND x.fits AND length(x.t) <= 200 THEN x.font_size ELSE f.size END,
+    CASE WHEN NOT f.done AND ((f.title = '' AND x.fits AND length(x.t) <= 200) OR (f.title <> '' AND GOES)) THEN x.y1 ELSE f.bottom END, f.done OR (f.title <> '' AND NOT GOES)
+  FROM ft f JOIN fr x ON x.paper_id = f.paper_id AND x.k = f.k + 1""".replace(
+        "GOES", "coalesce(x.fits AND abs(x.font_size - f.size) <= 0.6 AND x.y0 - f.bottom <= 2.0 * f.size AND length(f.title || ' ' || x.t) <= 200, false)"
+    ),
+    "tt": "SELECT p.paper_id, coalesce(title, '') AS title FROM (SELECT DISTINCT paper_id FROM rg) p LEFT JOIN (SELECT paper_id, arg_max(title, k) AS title FROM ft GROUP BY paper_id) USING (paper_id)",
     "bt": "SELECT paper_id, string_agg(raw || chr(10), '' ORDER BY i) AS text FROM ln GROUP BY paper_id",
     "bp": "SELECT paper_id, page, coalesce(sum(n) OVER (PARTITION BY paper_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT paper_id, i // 12 AS page, sum(length(raw) + 1) AS n FROM ln GROUP BY ALL)",
     "bw": r"SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY s) - 1 AS order_index, raw FROM (SELECT paper_id, s, substring(text, CAST(s AS INTEGER) + 1, 800) AS raw FROM (SELECT paper_id, text, unnest(range(0, length(text), 700)) AS s FROM bt)) WHERE regexp_matches(raw, '\S')",
@@ -117,6 +139,21 @@ SHARED = {
 }
 
 
+def _flat(c: str) -> str:
+    return _strip(rf"regexp_replace({c}, '\s+', ' ', 'g')")
+
+
+# expressions that layers share, filled in here so that they stand written once
+_LABEL = rf"regexp_extract(a.caption, '^{_REFERENCE.removeprefix('(?i)' + chr(92) + 'b')}', GROUP, 'i')"
+SHARED["lf"] = (
+    SHARED["lf"]
+    .replace("FLAT", _flat("c.text"))
+    .replace("KIND", "CASE WHEN lower(a.caption) LIKE 'fig%' THEN 'figure' WHEN lower(a.caption) LIKE 'tab%' THEN 'table' ELSE 'equation' END")
+    .replace("NUM", rf"regexp_replace(regexp_extract({_LABEL.replace('GROUP', '2')}, '^[0-9]+'), '^0+(.)', '\1')")
+)
+SHARED["fr0"] = SHARED["fr0"].replace("FLATTEXT", _flat("text"))
+
+
 def _with(body: str, **own: str) -> str:
     """``body`` with the shared layers that it needs, in an order that defines them first.
     own: layers that this query defines itself."""
@@ -224,15 +261,21 @@ def oracle_sql() -> dict[str, str]:
         "busiest_pages": _with("SELECT paper_id, first(page ORDER BY n DESC, seen) AS busiest, array_to_string((list(page ORDER BY page))[1:10], ',') AS pages FROM (SELECT paper_id, page, count(*) AS n, min(order_index) AS seen FROM rg GROUP BY ALL) GROUP BY paper_id", **_ALL),
         "section_run": _with("SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY f) - 1 AS place, section, regions, title FROM (SELECT paper_id, section, min(order_index) AS f, count(*) AS regions, coalesce(first(section_title_raw ORDER BY order_index) FILTER (section_title_raw <> ''), '') AS title FROM rg GROUP BY ALL)", **_ALL),
         "chunk_stats": _with("SELECT paper_id, count(*) AS chunks, count(*) FILTER (section <> 'unknown') AS placed, CAST(sum(token_count) AS BIGINT) AS tokens FROM ch GROUP BY ALL", **_ALL),
-        "chunk_preview": _with(f"SELECT paper_id, order_index, section, CAST(length(text) AS INTEGER) AS chars, page_start + 1 AS page, CASE WHEN rest <> '' THEN head ELSE '' END AS head, substring({body}, 1, 210) || CASE WHEN length(t) > 210 THEN ' …' ELSE '' END AS body FROM (SELECT *, CASE WHEN rest <> '' THEN rest ELSE head END AS t FROM (SELECT *, split_part(text, chr(10), 1) AS head, substring(text, length(split_part(text, chr(10), 1)) + 2) AS rest FROM ch WHERE order_index < 4))", **_ALL),
+        "chunk_preview": _with(f"SELECT paper_id, order_index, section, CAST(length(text) AS INTEGER) AS chars, page_start + 1 AS page, CASE WHEN rest <> '' THEN head ELSE '' END AS head, substring({body}, 1, 210) || CASE WHEN length(t) > 210 THEN ' …' ELSE '' END AS body FROM (SELECT *, CASE WHEN rest <> '' THEN rest ELSE head END AS t FROM (SELECT *, split_part(text, chr(10), 1) AS head, substring(text, length(split_part(text, chr(10), 1)) + 2) AS rest FROM ch WHERE " + _below("order_index", 4) + "))", **_ALL),
         "artifact_summary": _with("SELECT paper_id, region_type AS artifact_type, count(*) AS artifacts, count(*) AS cropped FROM ar GROUP BY ALL", **_ALL),
+        "kwic": _with("SELECT paper_id, artifact_id, chunk_id, before, marked, after FROM ls", **_IN_CHUNKS),
+        "link_previews": _with("SELECT paper_id, place, region_type AS artifact_type, page + 1 AS page, chunk, replace(section, '_', ' ') AS section, sha1(substring(caption, 1, 90)) AS caption_sha1, sha1(before || '|' || marked || '|' || after) AS passage_sha1 FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY n) - 1 AS place FROM ls) WHERE " + _below("place", 4), **_IN_CHUNKS),
+        "paper_titles": _with("SELECT paper_id, title FROM tt", **_ALL),
+        "paper_cards": _with("SELECT paper_id, title, coalesce(p.n, 0) AS pages, coalesce(c.n, 0) AS chunks, coalesce(a.n, 0) AS artifacts FROM tt LEFT JOIN (SELECT paper_id, count(*) AS n FROM pg GROUP BY 1) p USING (paper_id) LEFT JOIN (SELECT paper_id, count(*) AS n FROM ch GROUP BY 1) c USING (paper_id) LEFT JOIN (SELECT paper_id, count(*) AS n FROM ar GROUP BY 1) a USING (paper_id)", **_ALL),
+        "artifact_tiles": _with("SELECT paper_id, n AS place, region_type AS artifact_type, page + 1 AS page, sha1(CASE WHEN caption = '' THEN 'No caption printed beside it.' ELSE substring(caption, 1, 120) END) AS caption, printf('%s/artifacts/%s_%02d.png', paper_id, CASE WHEN region_type = 'figure' THEN 'fig' ELSE 'tbl' END, k) AS image_path FROM ar WHERE " + _below("n", 8), **_ALL),
+        "overlay_legend": _with("SELECT paper_id, page, region_type, count(*) AS regions FROM rg GROUP BY ALL", **_ALL),
         "link_stats": _with("SELECT a.paper_id, a.n AS artifacts, coalesce(l.linked, 0) AS linked, a.n - coalesce(l.linked, 0) AS unlinked, coalesce(l.mentions, 0) AS mentions, coalesce(l.citing, 0) AS citing FROM (SELECT paper_id, count(*) AS n FROM ar GROUP BY 1) a LEFT JOIN (SELECT paper_id, count(DISTINCT artifact_id) AS linked, count(*) AS mentions, count(DISTINCT chunk_id) AS citing FROM lk GROUP BY 1) l USING (paper_id)", **_IN_CHUNKS),
-        "overlay": _with(f"SELECT paper_id, page, order_index + 1 AS badge, region_type, {px('x0')} AS px0, {px('y0')} AS py0, {px('x1')} AS px1, {px('y1')} AS py1 FROM rg", **_ALL),
+        "overlay": _with(f"SELECT paper_id, page, row_number() OVER (PARTITION BY paper_id, page ORDER BY order_index) AS badge, region_type, {px('x0')} AS px0, {px('y0')} AS py0, {px('x1')} AS px1, {px('y1')} AS py1 FROM rg", **_ALL),
         "gallery": _with("SELECT paper_id, page, '/paper/' || paper_id || '/page/' || page AS href FROM pg"),
         "page_strip": _with("SELECT paper_id, count(*) AS pages, array_to_string((list(image_path ORDER BY page_index))[1:12], ',') AS shown FROM pi GROUP BY ALL", **image),
         "headline": _with(f"SELECT r.paper_id, regions, sections, coalesce(c.n, 0) AS chunks, coalesce(placed, 0) AS placed, coalesce(a.n, 0) AS artifacts, coalesce(bm, '—') AS baseline_mid_word, coalesce(lm, '—') AS layout_mid_word FROM (SELECT paper_id, count(*) AS regions, count(DISTINCT section) FILTER (section <> 'unknown') AS sections FROM rg GROUP BY 1) r LEFT JOIN (SELECT paper_id, count(*) AS n, count(*) FILTER (section <> 'unknown') AS placed, {_percent(f'(count(*) FILTER ({_mid_text}))', 'count(*)')} AS lm FROM ch GROUP BY 1) c USING (paper_id) LEFT JOIN (SELECT paper_id, count(*) AS n FROM ar GROUP BY 1) a USING (paper_id) LEFT JOIN (SELECT paper_id, {_percent(f'(count(*) FILTER ({_mid_text}))', 'count(*)')} AS bm FROM bc GROUP BY 1) b USING (paper_id)", **_ALL, **base),
         "exemplars": _with(f"SELECT coalesce(b.paper_id, w.paper_id) AS paper_id, sha1(broken) AS broken_sha1, sha1(whole) AS whole_sha1 FROM (SELECT paper_id, arg_min(text, order_index) AS broken FROM bc WHERE {_mid('text')} GROUP BY 1) b FULL JOIN (SELECT paper_id, arg_min(text, order_index) AS whole FROM ch WHERE section <> 'unknown' AND contains(text, chr(10)) GROUP BY 1) w ON b.paper_id = w.paper_id", **_ALL, **base),
-        "comparison": _with("SELECT paper_id, run, order_index, section, page, CAST(length(text) AS INTEGER) AS chars, CASE WHEN length(text) > 260 THEN substring(text, 1, 260) || ' …' ELSE text END AS shown FROM (SELECT b.paper_id, 'baseline' AS run, order_index, 'unknown' AS section, (SELECT max(page) FROM bp p WHERE p.paper_id = b.paper_id AND start <= order_index * 700) AS page, text FROM bc b WHERE (order_index + 1) % 100000 <= 12 UNION ALL SELECT paper_id, 'layout', order_index, section, page_start, text FROM ch WHERE order_index < 12)", **_ALL, **base),
+        "comparison": _with("SELECT paper_id, run, order_index, section, page, CAST(length(text) AS INTEGER) AS chars, CASE WHEN length(text) > 260 THEN substring(text, 1, 260) || ' …' ELSE text END AS shown FROM (SELECT b.paper_id, 'baseline' AS run, order_index, 'unknown' AS section, (SELECT max(page) FROM bp p WHERE p.paper_id = b.paper_id AND start <= order_index * 700) AS page, text FROM bc b WHERE BELOW UNION ALL SELECT paper_id, 'layout', order_index, section, page_start, text FROM ch WHERE BELOW)".replace("BELOW", _below("order_index", 12)), **_ALL, **base),
         "file_sizes": "SELECT page_id, CASE WHEN n IS NULL OR n = 0 THEN '—' WHEN n / 1048576.0::DOUBLE >= 1 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.0f KB', n / 1024.0::DOUBLE) END AS size FROM (SELECT page_id, octet_length(encode(html)) * 100 AS n FROM pages)",
     }
     return q

@@ -274,7 +274,7 @@ def page_images(spark, sf_dir):
 
 def refs(spark, sf_dir):
     rows = synthetic.text_rows(_documents(spark, sf_dir)).withColumnRenamed("i", "chunk_id")
-    return linking.chunk_references(rows).select("paper_id", F.col("chunk_id").alias("i"), "kind", F.col("num").cast("bigint").alias("num"))
+    return linking.chunk_references(rows).select("paper_id", F.col("chunk_id").alias("i"), "kind", "num")
 
 
 def _linked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -345,6 +345,21 @@ def artifact_summary(spark, sf_dir):
     return views.artifact_summary(A.extract_artifacts(_regions(spark, sf_dir), A.page_images(synthetic.pages(docs))))
 
 
+def artifact_tiles(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    t = views.artifact_tiles(A.extract_artifacts(_regions(spark, sf_dir), A.page_images(synthetic.pages(docs))))
+    return t.withColumn("caption", F.sha1("caption"))
+
+
+def link_previews(spark, sf_dir):
+    p = views.link_previews(*_linked(spark, sf_dir))
+    return p.select("paper_id", "place", "artifact_type", "page", "chunk", "section", F.sha1("caption").alias("caption_sha1"), F.sha1(F.concat("before", F.lit("|"), "marked", F.lit("|"), "after")).alias("passage_sha1"))
+
+
+def overlay_legend(spark, sf_dir):
+    return views.overlay_legend(_regions(spark, sf_dir))
+
+
 def link_stats(spark, sf_dir):
     return views.link_stats(*_linked(spark, sf_dir))
 
@@ -409,7 +424,7 @@ QUERIES = {
         block_measures, page_furniture, classify_blocks, absorb_text, absorb_rest, caption_kinds, figure_merge, equation_merge, layout_regions,
         section_carry, paper_titles, chunks, caption_pairs, artifacts, crop_boxes, page_images, refs, links,
         page_checks, paper_report, corpus_totals, run_scoreboard,
-        region_tally, busiest_pages, section_run, chunk_stats, chunk_preview, artifact_summary, link_stats, kwic,
-        headline, exemplars, comparison, overlay, gallery, page_strip, paper_cards, result_records,
+        region_tally, busiest_pages, section_run, chunk_stats, chunk_preview, artifact_summary, artifact_tiles, link_stats, link_previews, kwic,
+        headline, exemplars, comparison, overlay, overlay_legend, gallery, page_strip, paper_cards, result_records,
     )
 }

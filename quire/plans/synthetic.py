@@ -20,10 +20,18 @@ HEADINGS = (
 
 def lines(documents: DataFrame) -> DataFrame:
     """(paper_id, i, raw): a document's lines, numbered from 0."""
-    return documents.select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("paper_id"),
-        F.posexplode(F.split("text", "\n")).alias("i", "raw"),
-    )
+    return _numbered(documents, F.split("text", "\n"))
+
+
+def _numbered(documents: DataFrame, raw: Column) -> DataFrame:
+    return documents.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("paper_id"), F.posexplode(raw).alias("i", "raw"))
+
+
+def _with_headings(documents: DataFrame) -> DataFrame:
+    """``lines``, those whose place a heading takes moved to the end of the line before."""
+    split = F.split("text", "\n")
+    moved = lambda all_: F.transform(all_, lambda x, i: F.when((i % 9 == 8) & (i + 1 < F.size(all_)), F.concat(x, F.lit(" "), F.get(all_, i + 1))).otherwise(x))
+    return _numbered(documents, F.get(F.transform(F.array(split), moved), 0))
 
 
 def _role() -> Column:
@@ -35,7 +43,8 @@ def _role() -> Column:
 
 def text_rows(documents: DataFrame) -> DataFrame:
     """(paper_id, page, pos, i, role, x0 .. y1, text, font_size, bold_ratio) of each line that
-    isn't blank. The first line is a title; every third heading spans both columns; pages name figures and tables in turn."""
+    isn't blank. The first line is a title; every ninth place has a heading, and its line goes to the end of
+    the one before; every third heading spans both columns; pages name figures and tables in turn."""
     i, page = F.col("i"), F.floor(F.col("i") / PER_PAGE).cast("int")
     slot = F.col("i") % PER_PAGE
     column, row = F.floor(slot / 6).cast("int"), slot % 6
@@ -44,7 +53,7 @@ def text_rows(documents: DataFrame) -> DataFrame:
     word = F.when(page % 2 == 0, "Figure").otherwise("Table")
     number = (page + 1).cast("string")
     text = (
-        F.when(i == 0, F.substring("raw", 1, 60))
+        F.when(i == 0, F.col("raw"))
         .when(F.col("role") == "heading", F.concat((k + 1).cast("string"), F.lit(". "), F.get(names, k % len(HEADINGS))))
         .when(F.col("role") == "caption", F.concat(word, F.lit(" "), number, F.lit(": "), F.col("raw")))
         .when(F.col("role") == "citing", F.concat(F.col("raw"), F.lit(" as shown in "), word, F.lit(" "), number))
@@ -53,7 +62,7 @@ def text_rows(documents: DataFrame) -> DataFrame:
     heading = F.col("role") == "heading"
     left = F.when(column == 0, 54.0).otherwise(321.0)
     spans = heading & (i % 27 == 0)
-    rows = lines(documents).withColumn("role", _role()).select(
+    rows = _with_headings(documents).withColumn("role", _role()).select(
         "paper_id",
         page.alias("page"),
         (slot * 2).cast("int").alias("pos"),

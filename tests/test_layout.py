@@ -19,6 +19,48 @@ def test_clusters_do_not_depend_on_order():
         assert one == {b for b, _ in K.clusters(boxes, 12.0)}
 
 
+def literal_clusters(boxes, reach):
+    groups = [(b, [i]) for i, b in enumerate(boxes)]
+    while True:
+        out = []
+        for b, members in groups:
+            k = next((k for k, (host, _) in enumerate(out) if K.near(b, host, reach)), None)
+            if k is None:
+                out.append((b, members))
+            else:
+                out[k] = (K.union(out[k][0], b), out[k][1] + members)
+        if len(out) == len(groups):
+            return out
+        groups = out
+
+
+def test_clusters_equal_literal_passes():
+    r = random.Random(3)
+    for n in (0, 1, 5, 40, 300):
+        for spread in (60, 400, 3000):
+            boxes = []
+            for _ in range(n):
+                x, y = r.uniform(-spread, spread), r.uniform(-spread, spread)
+                w, h = (r.choice([0.0, 1.0, 20.0, r.choice([80.0, 1e7])]) for _ in range(2))
+                boxes.append((x, y, x + w, y + h))
+            if n == 40:
+                boxes[7] = (0.0, 0.0, float("inf"), 5.0)
+            for reach in (8.0, 12.0):
+                assert K.clusters(boxes, reach) == literal_clusters(boxes, reach)
+
+
+def test_many_clusters_take_linear_time():
+    import time
+
+    took = []
+    for n in (40, 160):
+        boxes = [(30.0 * i, 30.0 * j, 30.0 * i + 10, 30.0 * j + 10) for i in range(n) for j in range(100)]
+        began = time.process_time()
+        assert len(K.clusters(boxes, 12.0)) == len(boxes)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_booktabs_table_and_chart():
     text = K.Block(False, (100, 105, 480, 118), "cells here", 9.0, sizes=[(9.0, 10)])
     prose = K.Block(False, (60, 300, 540, 380), "long prose " * 30, 9.0, sizes=[(9.0, 330)])

@@ -48,10 +48,39 @@ def test_records_survive_and_corrupt_ones_are_marked(spark, made, tmp_path):
     assert got["doc-1"].corrupt and got["zz"].corrupt and got["doc-1"].result is None
     whole = got["doc-2"].result
     assert json.loads(records.filter("paper_id = 'doc-2'").first().record)["chunks"][0]["text"] == whole.chunks[0].text
-    loaded = store.load(spark, path)
-    assert [store.lookup(loaded, i).first().status for i in ("doc-2", "doc-1", "no")] == [200, 500, 404]
+    assert [store.lookup(spark, path, i).first().status for i in ("doc-2", "doc-1", "no")] == [200, 500, 404]
     ids = [x.paper_id for x in store.paper_ids(spark, path).collect()]
-    assert ids == sorted(ids)
+    assert ids == sorted(ids) and len(ids) == len(got)
+    store.compact(spark, path)
+    again = {x.paper_id: x for x in store.load(spark, path).collect()}
+    assert {k: (v.corrupt, v.result) for k, v in again.items()} == {k: (v.corrupt, v.result) for k, v in got.items()}
+    store.save(records.filter("paper_id = 'doc-1'"), path)
+    assert store.lookup(spark, path, "doc-1").first().status == 200 and store.load(spark, path).count() == len(got)
+
+
+def test_a_save_touches_its_own_rows_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.save(spark.createDataFrame([(f"p{i}", "{}") for i in range(500)], "paper_id string, record string"), path)
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    store.save(spark.createDataFrame([("p7", "new"), ("p7", "newer")], "paper_id string, record string").coalesce(1), path)
+    after = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    assert before.items() <= after.items() and 1 <= len(after) - len(before) <= 2
+    assert store.load(spark, path).count() == 500
+    assert store._newest(store._stored(spark, path, store._RECORD)).filter("paper_id = 'p7'").first().record == "newer"
+
+
+def test_sources_are_kept_and_comparison_needs_one(spark, made, tmp_path):
+    decoded, r = made
+    records, kept = str(tmp_path / "records"), str(tmp_path / "raw")
+    assert store.source(spark, kept, "doc-2").count() == 0 and store.comparison_status(spark, records, kept, "doc-2").first().status == 404
+    store.save(store.to_records(store.results(r.papers, r.pages, r.regions, r.chunks, r.artifacts)).filter("paper_id in ('doc-2', 'doc-3')"), records)
+    store.save(spark.createDataFrame([("bad", "{")], "paper_id string, record string"), records)
+    store.save_sources(spark.createDataFrame([("doc-2", b"%PDF old"), ("bad", b"x")], "paper_id string, content binary"), kept)
+    store.save_sources(spark.createDataFrame([("doc-2", b"%PDF new")], "paper_id string, content binary"), kept)
+    assert bytes(store.source(spark, kept, "doc-2").first().content) == b"%PDF new"
+    assert {x.paper_id: bytes(x.content) for x in store.sources(spark, kept).collect()} == {"doc-2": b"%PDF new", "bad": b"x"}
+    status = lambda i: store.comparison_status(spark, records, kept, i).first().status
+    assert [status(i) for i in ("doc-2", "doc-3", "bad", "no")] == [200, 409, 500, 404]
 
 
 def test_walkthrough_without_a_source(spark, made):
@@ -84,6 +113,51 @@ def test_files(spark, tmp_path):
     assert got["My paper.pdf"].paper_id == "My paper-" + hashlib.sha1(b"%PDF-1.4 x").hexdigest()[:12]
 
 
+def test_a_broken_file_is_marked_and_others_are_decoded(spark):
+    def decoder(content):
+        if b"broken" in content:
+            raise RuntimeError("no objects")
+        if b"odd" in content:
+            return {"pages": [{"page": "first"}]}
+        span = {"page": 0, "block_no": 0, "line_no": 0, "span_no": 0, "bx0": 54.0, "by0": 90.0, "bx1": 300.0, "by1": 110.0, "text": "1. Introduction", "font": "Times-Bold", "size": 14.0}
+        below = span | {"block_no": 1, "by0": 150.0, "by1": 160.0, "text": "Words of a paragraph that goes on. " * 5, "font": "Times-Roman", "size": 9.0}
+        return {"meta_title": "A title", "pages": [{"page": 0, "width": 612.0, "height": 792.0}], "flat": [{"page": 0, "text": "1. Introduction\nWords"}], "spans": [span, below]}
+
+    rows = [("a", "a.pdf", b"%PDF good"), ("b", "b.pdf", b"%PDF broken"), ("c", "c.pdf", b"<html>"), ("d", "d.pdf", b"%PDF odd"), ("e", "e.pdf", None)]
+    decoded = files.DecodedFiles(spark.createDataFrame(rows, "paper_id string, source_filename string, content binary"), decoder)
+    assert {r.paper_id: r.error.partition(":")[0] for r in decoded.failed.collect()} == {"b": "RuntimeError", "c": "ValueError", "d": "ArrowInvalid", "e": "ValueError"}
+    r = pipeline.run_pipeline(decoded)
+    assert [(x.paper_id, x.title, x.page_count) for x in r.papers.collect()] == [("a", "A title", 1)]
+    assert [x.region_type for x in r.regions.orderBy("order_index").collect()] == ["heading", "body"]
+    report = quality.paper_report(r.regions, decoded.failed.select("paper_id"))
+    assert quality.corpus_totals(report).first().flagged_papers == 4
+    assert files.DecodedFiles(spark.createDataFrame([], "paper_id string, source_filename string, content binary"), decoder).pages.count() == 0
+
+
+def test_tiles_previews_badges_and_legend(spark, made):
+    _, r = made
+    tiles = views.artifact_tiles(r.artifacts).collect()
+    assert tiles and all(t.place < 8 and (t.caption or t.caption == views.NO_CAPTION) for t in tiles)
+    shown = views.link_previews(r.artifacts, r.chunks).collect()
+    by = {}
+    for p in shown:
+        by.setdefault(p.paper_id, []).append(p.place)
+        assert "_" not in p.section and (p.marked == "" or p.marked.lower()[:3] in ("fig", "tab", "equ", "eq."))
+    assert by and all(sorted(v) == list(range(len(v))) and len(v) <= 4 for v in by.values())
+    boxes = views.overlay(r.regions, r.pages).groupBy("paper_id", "page").agg(F.count("*").alias("n"), F.max("badge").alias("m"), F.min("badge").alias("l")).collect()
+    assert boxes and all(b.n == b.m and b.l == 1 for b in boxes)
+    legend = views.overlay_legend(r.regions)
+    assert legend.agg(F.sum("regions")).first()[0] == r.regions.count()
+    assert views.overlay_lookup(r.regions, r.pages, "doc-2", 0).first().status == 200
+    assert views.overlay_lookup(r.regions.filter("paper_id <> 'doc-2'"), r.pages, "doc-2", 0).first().status == 404
+
+
+def test_upload_types(spark):
+    rows = [("a.pdf", "text/plain", True), ("a.txt", "application/pdf", True), ("a", "application/x-pdf", True), ("a.txt", "text/plain", False), ("a.PDF", None, True), ("b", None, False)]
+    df = spark.createDataFrame(rows, "n string, t string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", files.is_pdf(F.col("n"), F.col("t")).alias("got")).collect())
+
+
 REGION = "region_id string, paper_id string, region_type string, bbox struct<page:int,x0:double,y0:double,x1:double,y1:double>, text string, order_index int"
 
 
