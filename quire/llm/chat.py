@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import template as T
-from quire.llm.common import table
+from quire.llm.common import ship, table
 
 #: Marks each turn with its role; the role and the text have control strings escaped.
 CHAT_TEMPLATE = """
@@ -104,6 +104,7 @@ def format_conversations(
     text, loss_starts and loss_ends the generation stretches in code points.
     """
     T.compile_template(source)  # a bad template fails here and not in a task
+    ship(rows.sparkSession)
     kind = rows.select("conv_id").schema[0].dataType.simpleString()
     schema = ", ".join([f"conv_id {kind}", *(f"{c} {SQL_TYPE[COLUMNS[c]]}" for c in outputs)])
 

@@ -3,16 +3,21 @@
     {{ expression }}   {# comment #}
     {% if e %} {% elif e %} {% else %} {% endif %}
     {% for name in e %} {% endfor %}      with loop.index, loop.index0, loop.first, loop.last
-    {% set name = e %}
+    {% set name = e %} {% set space.name = e %}
     {% generation %} {% endgeneration %}   marks what a model is to produce
 
 A dash inside a tag's bracket ({%- or -%}) trims the white space on that side.
-Expressions: literals, names, a.b and a[e] on dictionaries and lists, + - * // % ~,
-comparisons, in, not, and, or, parentheses, and filters (e | upper | default('x')).
+Expressions: literals, names, a.b, a[e] and a[e:e] on dictionaries, lists and strings,
++ - * // % ~, comparisons, in, not in, is and is not with a test (defined, none, string,
+number, mapping, sequence), not, and, or, x if c else y, parentheses, filters
+(e | upper | default('x')), and the calls namespace(name=e), range(e) and raise_exception(e).
 
 Sandbox: names reach the given variables only; a.b is a dictionary lookup and never a
-Python attribute; there are no calls but filters from a fixed table; repetition of
-strings is refused, so the output is bounded by the template times the input.
+Python attribute; filters, tests and calls come from fixed tables; strings can't be
+repeated and whole numbers stay below 2**63. Every character that an operation makes or
+writes and every round of a loop is charged to an allowance (FREE and PER_CHAR times the
+input's characters), so a rendering's time and memory are bounded by its input. What isn't
+allowed, and what fails in Python, raises TemplateError.
 
 ``parse`` gives a tree, ``fold`` evaluates its constant parts, and ``compile_template``
 turns it into closures that write to an ``Output``, which also holds the stretches
@@ -21,6 +26,7 @@ inside generation marks.
 
 from __future__ import annotations
 
+import json
 import operator
 import re
 from collections.abc import Callable, Iterable
@@ -32,6 +38,12 @@ class TemplateError(ValueError):
     """The template or an operation in it isn't allowed."""
 
 
+#: A rendering's allowance: characters and rounds that are free, and more for each character of its input.
+FREE = 1 << 22
+PER_CHAR = 64
+MOST_NUMBER = 1 << 63
+
+
 # ---- tree ---------------------------------------------------------------------------
 
 
@@ -71,6 +83,33 @@ class Filter:
     args: tuple
 
 
+@dataclass(frozen=True)
+class Test:
+    name: str
+    value: Any
+
+
+@dataclass(frozen=True)
+class Pick:
+    cond: Any
+    yes: Any
+    no: Any
+
+
+@dataclass(frozen=True)
+class Part:
+    of: Any
+    start: Any
+    stop: Any
+
+
+@dataclass(frozen=True)
+class Call:
+    name: str
+    args: tuple
+    named: tuple  # of (name, value)
+
+
 @dataclass(frozen=True)
 class Text:
     text: str
@@ -97,6 +136,7 @@ class Loop:
 class Assign:
     name: str
     value: Any
+    space: str = ""  # the namespace that has the name
 
 
 @dataclass(frozen=True)
@@ -109,7 +149,7 @@ class Generation:
 _TAG = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#(-?)(.*?)(-?)#\}", re.S)
 _TOKEN = re.compile(
     r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)"
-    r"|(?P<op>==|!=|<=|>=|//|[-+*%~<>()\[\].,|=]))",
+    r"|(?P<op>==|!=|<=|>=|//|[-+*%~<>()\[\].,|=:]))",
     re.S,
 )
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
@@ -158,8 +198,20 @@ class _Expression:
         self.at += 1
         return got
 
-    def whole(self) -> Any:
+    def choice(self) -> Any:
+        """x if c else y, whose parts bind more tightly."""
         node = self.level(0)
+        if self.peek() != ("name", "if"):
+            return node
+        self.take()
+        cond = self.level(0)
+        if self.peek() != ("name", "else"):
+            return Pick(cond, node, Const(None))
+        self.take()
+        return Pick(cond, node, self.choice())
+
+    def whole(self) -> Any:
+        node = self.choice()
         if self.peek()[0] != "end":
             raise TemplateError(f"unexpected {self.peek()[1]!r}")
         return node
@@ -173,10 +225,25 @@ class _Expression:
                 return Unary("not", self.level(n))
             return self.level(n + 1)
         node = self.level(n + 1)
-        while (kind := self.peek()[0]) in ("op", "name") and (op := self.peek()[1]) in self.LEVELS[n] and kind != "const":
-            self.take()
-            node = Binary(op, node, self.level(n + 1))
-        return node
+        while True:
+            kind, op = self.peek()
+            if kind in ("op", "name") and op in self.LEVELS[n]:
+                self.take()
+                node = Binary(op, node, self.level(n + 1))
+            elif "in" in self.LEVELS[n] and (kind, op) == ("name", "not") and self.tokens[self.at + 1 : self.at + 2] == [("name", "in")]:
+                self.at += 2
+                node = Unary("not", Binary("in", node, self.level(n + 1)))
+            elif "in" in self.LEVELS[n] and (kind, op) == ("name", "is"):
+                self.take()
+                no = self.peek() == ("name", "not")
+                if no:
+                    self.take()
+                name = self.word()
+                if name not in TESTS:
+                    raise TemplateError(f"no test {name!r}")
+                node = Unary("not", Test(name, node)) if no else Test(name, node)
+            else:
+                return node
 
     def filtered(self) -> Any:
         node = self.primary()
@@ -186,7 +253,12 @@ class _Expression:
                 node = Item(node, Const(self.word()))
             elif self.peek() == ("op", "["):
                 self.take()
-                node = Item(node, self.level(0))
+                start = Const(None) if self.peek() == ("op", ":") else self.choice()
+                if self.peek() == ("op", ":"):
+                    self.take()
+                    node = Part(node, start, Const(None) if self.peek() == ("op", "]") else self.choice())
+                else:
+                    node = Item(node, start)
                 self.take("]")
             elif self.peek() == ("op", "|"):
                 self.take()
@@ -196,7 +268,7 @@ class _Expression:
                 if self.peek() == ("op", "("):
                     self.take()
                     while self.peek() != ("op", ")"):
-                        args.append(self.level(0))
+                        args.append(self.choice())
                         if self.peek() == ("op", ","):
                             self.take()
                     self.take(")")
@@ -210,10 +282,12 @@ class _Expression:
         if kind == "const":
             return Const(got)
         if kind == "name":
-            named = {"true": True, "false": False, "none": None}
+            named = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
+            if self.peek() == ("op", "("):
+                return self.call(got)
             return Const(named[got]) if got in named else Name(got)
         if got == "(":
-            node = self.level(0)
+            node = self.choice()
             self.take(")")
             return node
         if got == "-":
@@ -221,6 +295,24 @@ class _Expression:
         raise TemplateError(f"unexpected {got!r}")
 
 
+    def call(self, name: str) -> Any:
+        if name not in CALLS:
+            raise TemplateError(f"no call {name!r}")
+        self.take("(")
+        args, named = [], []
+        while self.peek() != ("op", ")"):
+            if self.peek()[0] == "name" and self.tokens[self.at + 1 : self.at + 2] == [("op", "=")]:
+                key = self.word()
+                self.take("=")
+                named.append((key, self.choice()))
+            else:
+                args.append(self.choice())
+            if self.peek() == ("op", ","):
+                self.take()
+        self.take(")")
+        return Call(name, tuple(args), tuple(named))
+
+
 def expression(source: str) -> Any:
     return _Expression(_tokens(source)).whole()
 
@@ -273,10 +365,10 @@ def parse(source: str) -> tuple:
                 inner, _ = body(("endfor",))
                 out.append(Loop(made[1], expression(made[2]), inner))
             elif head == "set":
-                made = re.fullmatch(r"([A-Za-z_]\w*)\s*=\s*(.+)", rest, re.S)
+                made = re.fullmatch(r"(?:([A-Za-z_]\w*)\.)?([A-Za-z_]\w*)\s*=\s*(.+)", rest, re.S)
                 if not made:
                     raise TemplateError(f"bad assignment {got!r}")
-                out.append(Assign(made[1], expression(made[2])))
+                out.append(Assign(made[2], expression(made[3]), made[1] or ""))
             elif head == "generation":
                 inner, _ = body(("endgeneration",))
                 out.append(Generation(inner))
@@ -314,7 +406,10 @@ def _number(op: Callable) -> Callable:
     def run(a: Any, b: Any) -> Any:
         if isinstance(a, str) or isinstance(b, str) or not isinstance(a, int | float) or not isinstance(b, int | float):
             raise TemplateError("arithmetic takes numbers")
-        return op(a, b)
+        made = op(a, b)
+        if abs(made) >= MOST_NUMBER:
+            raise TemplateError("a number is too large")
+        return made
 
     return run
 
@@ -358,7 +453,35 @@ def unescape_controls(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text) if "\\" in text else text
 
 
+class Namespace(dict):
+    """What ``set space.name`` may change."""
+
+
+def _refuse(message: Any = "") -> None:
+    raise TemplateError(_text(message))
+
+
+def _range(scope: dict, *ends: int) -> list[int]:
+    made = range(*ends[:2])
+    _charge(scope, len(made))
+    return list(made)
+
+
+CALLS: dict[str, Callable[..., Any]] = {
+    "namespace": lambda scope, **named: Namespace(named),
+    "range": _range,
+    "raise_exception": lambda scope, message="": _refuse(message),
+}
+TESTS: dict[str, Callable[[Any], bool]] = {
+    "defined": lambda x: x is not None,  # of names and items; see _expression
+    "none": lambda x: x is None,
+    "string": lambda x: isinstance(x, str),
+    "number": lambda x: isinstance(x, int | float) and not isinstance(x, bool),
+    "mapping": lambda x: isinstance(x, dict),
+    "sequence": lambda x: isinstance(x, list | tuple | str),
+}
 FILTERS: dict[str, Callable[..., Any]] = {
+    "tojson": lambda x: json.dumps(x, ensure_ascii=False),
     "upper": lambda x: _text(x).upper(),
     "lower": lambda x: _text(x).lower(),
     "trim": lambda x: _text(x).strip(),
@@ -391,6 +514,17 @@ def fold(node: Any) -> Any:
     elif isinstance(node, Filter):
         node = Filter(node.name, fold(node.value), tuple(fold(a) for a in node.args))
         constant = isinstance(node.value, Const) and all(isinstance(a, Const) for a in node.args)
+    elif isinstance(node, Test):
+        node = Test(node.name, fold(node.value))
+        constant = isinstance(node.value, Const)
+    elif isinstance(node, Part):
+        node = Part(fold(node.of), fold(node.start), fold(node.stop))
+        constant = all(isinstance(x, Const) for x in (node.of, node.start, node.stop))
+    elif isinstance(node, Pick):
+        node = Pick(fold(node.cond), fold(node.yes), fold(node.no))
+        return (node.yes if node.cond.value else node.no) if isinstance(node.cond, Const) else node
+    elif isinstance(node, Call):
+        return Call(node.name, tuple(fold(a) for a in node.args), tuple((k, fold(v)) for k, v in node.named))
     else:
         return node
     if constant:
@@ -407,7 +541,7 @@ def _folded_statement(node: Any) -> Iterable[Any]:
         if isinstance(value, Const):
             try:
                 return (Text(_text(value.value)),)
-            except TemplateError:
+            except ValueError:
                 pass
         return (Emit(value),)
     if isinstance(node, Choice):
@@ -427,7 +561,7 @@ def _folded_statement(node: Any) -> Iterable[Any]:
     if isinstance(node, Loop):
         return (Loop(node.name, fold(node.over), fold(node.body)),)
     if isinstance(node, Assign):
-        return (Assign(node.name, fold(node.value)),)
+        return (Assign(node.name, fold(node.value), node.space),)
     if isinstance(node, Generation):
         return (Generation(fold(node.body)),)
     return (node,)
@@ -453,8 +587,15 @@ class Output:
     parts: list[str] = field(default_factory=list)
     length: int = 0
     marked: list[tuple[int, int]] = field(default_factory=list)
+    left: int = FREE  # of the allowance
+
+    def charge(self, n: int) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise TemplateError("a rendering makes too much of its input")
 
     def write(self, text: str) -> None:
+        self.charge(len(text))
         self.parts.append(text)
         self.length += len(text)
 
@@ -464,6 +605,29 @@ class Output:
 
 
 Scope = dict[str, Any]
+#: Where a scope holds its Output; no name is empty. Constants are folded without one.
+_OUT = ""
+
+
+def _charge(scope: Scope, n: int) -> None:
+    if _OUT in scope:
+        scope[_OUT].charge(n)
+
+
+def _made(scope: Scope, value: Any) -> Any:
+    """``value``, charged by its size."""
+    if isinstance(value, str | list | tuple):
+        _charge(scope, len(value))
+    return value
+
+
+def _size(value: Any) -> int:
+    """Characters and items of the variables."""
+    if isinstance(value, dict):
+        return 1 + sum(_size(x) for x in value.values())
+    if isinstance(value, list | tuple):
+        return 1 + sum(map(_size, value))
+    return len(value) if isinstance(value, str) else 1
 
 
 def _expression(node: Any) -> Callable[[Scope], Any]:
@@ -483,7 +647,33 @@ def _expression(node: Any) -> Callable[[Scope], Any]:
         return lambda scope: OPS["-"](0, value(scope))
     if isinstance(node, Filter):
         call, value, args = FILTERS[node.name], _expression(node.value), [_expression(a) for a in node.args]
-        return lambda scope: call(value(scope), *(a(scope) for a in args))
+        return lambda scope: _made(scope, call(value(scope), *(a(scope) for a in args)))
+    if isinstance(node, Test):
+        if node.name == "defined" and isinstance(node.value, Name):
+            name = node.value.name
+            return lambda scope: name in scope
+        if node.name == "defined" and isinstance(node.value, Item):
+            holder, at = _expression(node.value.of), _expression(node.value.key)
+            return lambda scope: at(scope) in h if isinstance(h := holder(scope), dict) else _get(h, at(scope)) is not None
+        test, tested = TESTS[node.name], _expression(node.value)
+        return lambda scope: test(tested(scope))
+    if isinstance(node, Pick):
+        cond, yes, no = _expression(node.cond), _expression(node.yes), _expression(node.no)
+        return lambda scope: yes(scope) if cond(scope) else no(scope)
+    if isinstance(node, Part):
+        whole, start, stop = _expression(node.of), _expression(node.start), _expression(node.stop)
+
+        def cut(scope: Scope) -> Any:
+            of = whole(scope)
+            if not isinstance(of, str | list | tuple):
+                raise TemplateError("parts are of lists and strings")
+            return _made(scope, of[start(scope) : stop(scope)])
+
+        return cut
+    if isinstance(node, Call):
+        function, values = CALLS[node.name], [_expression(a) for a in node.args]
+        named = [(k, _expression(v)) for k, v in node.named]
+        return lambda scope: function(scope, *(v(scope) for v in values), **{k: v(scope) for k, v in named})
     if isinstance(node, Binary):
         left, right = _expression(node.left), _expression(node.right)
         if node.op == "and":
@@ -491,7 +681,9 @@ def _expression(node: Any) -> Callable[[Scope], Any]:
         if node.op == "or":
             return lambda scope: left(scope) or right(scope)
         op = OPS[node.op]
-        return lambda scope: op(left(scope), right(scope))
+        if node.op == "in":
+            return lambda scope: op(left(scope), _made(scope, right(scope)))
+        return lambda scope: _made(scope, op(left(scope), right(scope)))
     raise TemplateError(f"not an expression: {node!r}")
 
 
@@ -503,10 +695,15 @@ def _statement(node: Any) -> Callable[[Scope, Output], None]:
         value = _expression(node.value)
         return lambda scope, out: out.write(_text(value(scope)))
     if isinstance(node, Assign):
-        name, value = node.name, _expression(node.value)
+        name, space, value = node.name, node.space, _expression(node.value)
 
         def assign(scope: Scope, out: Output) -> None:
-            scope[name] = value(scope)
+            if not space:
+                scope[name] = value(scope)
+            elif isinstance(scope.get(space), Namespace):
+                scope[space][name] = value(scope)
+            else:
+                raise TemplateError(f"{space!r} is no namespace")
 
         return assign
     if isinstance(node, Choice):
@@ -528,6 +725,7 @@ def _statement(node: Any) -> Callable[[Scope, Output], None]:
                 raise TemplateError("loops run over lists")
             inner = dict(scope)
             for i, item in enumerate(items):
+                out.charge(1)
                 inner[name] = item
                 inner["loop"] = {"index0": i, "index": i + 1, "first": i == 0, "last": i == len(items) - 1}
                 run(inner, out)
@@ -562,8 +760,13 @@ def compile_template(source: str) -> Callable[[Scope], Output]:
     run = _body(fold(parse(source)))
 
     def render(variables: Scope) -> Output:
-        out = Output()
-        run(dict(variables), out)
+        out = Output(left=FREE + PER_CHAR * _size(variables))
+        try:
+            run({**variables, _OUT: out}, out)
+        except TemplateError:
+            raise
+        except (TypeError, ValueError, ArithmeticError, RecursionError) as e:
+            raise TemplateError(f"an operation failed: {e}") from e
         return out
 
     return render
