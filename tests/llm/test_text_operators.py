@@ -318,6 +318,45 @@ def test_sandbox(bad):
             template.compile_template(broken)
 
 
+def test_tests_calls_parts_and_choices():
+    source = "{{ 'a' if x not in xs else 'b' }}|{{ y is defined }}|{{ m.z is defined }}|{{ x is not none }}|{{ xs[1:] | length }}|{{ 'abc'[:2] }}|{{ m | tojson }}|{{ not x in xs }}"
+    assert render(source, x=1, xs=[2, 3], m={"z": None}) == 'a|false|true|true|1|ab|{"z": null}|true'
+    assert render("{% set ns = namespace(n=0) %}{% for i in range(1, 5) %}{% set ns.n = ns.n + i %}{% endfor %}{{ ns.n }}") == "10"
+    assert render("{{ x if a else y if b else 'none of them' }}{{ q is string and 1 is number and xs is sequence }}", a=0, b=0, q="", xs=[]) == "none of themtrue"
+    real = """{%- if messages[0]['role'] == 'system' -%}{% set system = messages[0]['content'] %}{% set rest = messages[1:] %}{%- else -%}{% set rest = messages %}{%- endif -%}
+{%- for message in rest -%}{%- if (message['role'] == 'user') != (loop.index0 % 2 == 0) -%}{{ raise_exception('roles must alternate') }}{%- endif -%}
+{%- if message['role'] == 'user' -%}{{ bos_token ~ '[INST] ' ~ (system ~ ' ' if loop.first and system is defined else '') ~ message['content'] | trim ~ ' [/INST]' }}{%- else -%}{% generation %}{{ ' ' ~ message['content'] ~ eos_token }}{% endgeneration %}{%- endif -%}{%- endfor -%}"""
+    say = lambda *roles: [{"role": r, "content": r[0]} for r in roles]
+    variables = {"bos_token": "<s>", "eos_token": "</s>"}
+    assert render(real, messages=say("system", "user", "assistant", "user"), **variables) == "<s>[INST] s u [/INST] a</s><s>[INST] u [/INST]"
+    with pytest.raises(template.TemplateError, match="alternate"):
+        render(real, messages=say("user", "user"), **variables)
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "{% set s = 'ab' %}{% for m in ms %}{% set s = s ~ s %}{% endfor %}{{ s | length }}",
+        "{% set s = 'ab' %}{% for m in ms %}{% set s = s + s %}{% endfor %}",
+        "{% set ns = namespace(s='ab') %}{% for m in ms %}{% set ns.s = [ns.s, ns.s] | join %}{% endfor %}",
+        "{% set ns = namespace(s='ab') %}{% for m in ms %}{% set ns.s = ns.s ~ ns.s %}{% endfor %}",
+        "{% set x = 9 %}{% for m in ms %}{% set x = x * x %}{% endfor %}{{ x }}",
+        "{% for i in range(99999999999) %}{% endfor %}",
+        "{% for a in ms %}{% for b in ms %}{% for c in ms %}{% for d in ms %}{% for e in ms %}{% endfor %}{% endfor %}{% endfor %}{% endfor %}{% endfor %}",
+        "{{ raise_exception('no') }}", "{{ 1 // 0 }}", "{{ 1 < 'a' }}", "{{ 5 | length }}", "{{ ms.append(1) }}", "{{ open('x') }}", "{% set ms.x = 1 %}", "{{ 'a' * 9 }}",
+    ],
+)
+def test_what_a_rendering_makes_is_bounded(bad):
+    with pytest.raises(template.TemplateError):
+        render(bad, ms=list(range(60)))
+
+
+def test_the_allowance_grows_with_the_input():
+    big = [{"role": "user", "text": "x" * 1_000_000}] * 40
+    out = template.compile_template(chat.CHAT_TEMPLATE)({"messages": big})
+    assert out.length > 40_000_000
+
+
 def test_control_strings_are_escaped_reversibly():
     r = random.Random(5)
     for _ in range(5000):
@@ -368,20 +407,72 @@ def test_archives_odd_input(spark, tmp_path):
     assert recs.count() == 3 * len(rows)
     got = warc.assemble(recs).collect()
     assert len(got) == len(rows) and all(len(r.requests) == 1 and len(r.metadata) == 1 for r in got)
-    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == sorted(
+    page = {r.record_id: r.page_id for r in got}
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to and page[r.refers_to])) for r in got) == sorted(
         [("1", "revisit", "9"), ("9", "response", "None"), ("9", "response", "None"), ("None", "revisit", "9"), ("3", "response", "None"), ("4", "response", "None"), ("5", "response", "None")]
     )
     whole = [r for r in got if r.page_id == 9][0]
-    assert bytes(whole.block).partition(b"\r\n\r\n")[2].decode() == big
+    assert bytes(whole.block).partition(b"\r\n\r\n")[2].decode() == big and bytes(whole.block)[whole.payload_start :].decode() == big
     assert {r.payload_digest for r in got if r.page_id == 3} == {hashlib.sha1(b"").hexdigest()}
     empty = str(tmp_path / "e")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.assemble(warc.read_archives(spark, empty)).count() == 0
 
 
+def test_archives_are_members_that_split(spark, tmp_path):
+    import gzip
+    import zlib
+
+    r = random.Random(18)
+    rows = [(i, f"http://h/{i}", "".join(r.choice("abcde<>\r\n") for _ in range(r.choice([0, 10, 5000])))) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archives(pages.coalesce(1), path, records_per_file=400)
+    parts = sorted((tmp_path / "w").glob("part-*"))
+    assert len(parts) == 3  # of 900 records
+    for part in parts:
+        data, members = part.read_bytes(), 0
+        records = list(warc.parse_records(gzip.GzipFile(fileobj=open(part, "rb"))))
+        while data:
+            d = zlib.decompressobj(31)
+            text = d.decompress(data)
+            assert text == b"" or (text.startswith(b"WARC/1.1\r\n") and text.count(b"WARC-Record-ID") == 1 and text.endswith(b"\r\n\r\n"))
+            members += text != b""
+            data = d.unused_data
+        assert members == len(records) <= 400
+    whole = sorted(x.record_id for x in warc.read_archives(spark, path).collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        pieces = warc.read_archives(spark, path)
+        assert pieces.rdd.getNumPartitions() > 5 and sorted(x.record_id for x in pieces.collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_no_member_holds_the_separator():
+    stored = b"".join(bytes([i]) for i in range(256)) + warc.MEMBER_END * 3
+    import gzip
+
+    for record in (stored, random.Random(19).randbytes(5000) + warc.MEMBER_END):
+        made = warc.member(record)
+        assert warc.MEMBER_END not in made and gzip.decompress(made) == record + b"\r\n\r\n"
+    assert gzip.decompress(warc.MEMBER_END) == b""
+
+
+def test_foreign_archives_are_read(spark, tmp_path):
+    import gzip
+
+    record = lambda i: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: 22\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabc\r\n\r\n".encode()
+    (tmp_path / "part-a.warc").write_bytes(record(1) + record(2))
+    (tmp_path / "part-b.warc").write_bytes(gzip.compress(record(3)) + gzip.compress(record(4)))
+    (tmp_path / "part-c.warc.gz").write_bytes(gzip.compress(record(5)) + gzip.compress(record(6)))
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted(r.record_id for r in got) == [f"<urn:{i}>" for i in range(1, 7)] and {r.payload_bytes for r in got} == {3}
+
+
 def test_transactions_join_either_way(spark):
-    cols = "record_id string, record_type string, concurrent_to array<string>, target_uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, block binary"
-    none = (None,) * 6
+    cols = "record_id string, record_type string, concurrent_to array<string>, target_uri string, page_id long, refers_to string, payload_bytes long, payload_digest string, payload_start int, block binary"
+    none = (None,) * 7
     rows = [("r1", "response", ["q1"], *none), ("q1", "request", [], *none), ("m1", "metadata", ["q1"], *none), ("m2", "metadata", ["r1"], *none), ("m3", "metadata", ["lost"], *none), ("r2", "revisit", [], *none)]
     got = {r.record_id: r for r in warc.assemble(spark.createDataFrame(rows, cols)).collect()}
     assert [x.record_id for x in got["r1"].requests] == ["q1"] and [x.record_id for x in got["r1"].metadata] == ["m1", "m2"]
