@@ -1,11 +1,14 @@
 """Quality rules whose cutoffs adapt to each language and source.
 
 Each document gives a few integer statistics. Per language, source and statistic a
-quantile sketch is kept: counts of log-spaced buckets, whose edges are at most a
-sixteenth of the value apart. Sketches merge by adding counts, so they aggregate
-map-side and a hot source costs no more rows than a small one; a source's, its
-language's and the whole table's sketch come from one pass. A document fails a rule
-where its statistic lies beyond a fence of three spreads outside the middle half.
+quantile sketch is kept of the documents that pass the base rule: counts of log-spaced
+buckets, whose edges are at most a sixteenth of the value apart. Sketches merge by adding
+counts, so they aggregate map-side and a hot source costs no more rows than a small one; a
+language's and the whole table's come from the sources'. A language's sketch takes in
+PRIOR documents dealt as the table's are, and a source's PRIOR dealt as its language's, so
+that small groups lean on what they are part of and large ones on themselves, without a
+size at which that changes. A document fails a rule where its statistic lies beyond a fence
+of SPREADS spreads outside its group's quantiles.
 
 DataFrame functions only.
 """
@@ -19,17 +22,20 @@ from quire.llm.common import SPACES, table, words, written
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Statistic, the least spread taken for its fence, whether it has a lower fence.
+#: Statistic, the quantiles (in twentieths) whose distance is its spread, the least spread (a few of
+#: the finest buckets, or about one repeat in a short text), whether it has a lower fence. Statistics
+#: that most documents have at 0 and some legitimately above take the upper tail for a spread.
 RULES = (
-    ("symbol_rate", 60, False),  # symbols to 1000 characters of words
-    ("dup_line_rate", 100, False),  # repeated lines to 1000 lines
-    ("repeat_rate", 80, False),  # repeated words to 1000 words
-    ("capital_rate", 60, False),  # letters A-Z to 1000 characters of words
-    ("word_length", 8, True),  # mean, in tenths of a character
+    ("symbol_rate", 15, 5, 4, False),  # symbols to 1000 characters of words
+    ("dup_line_rate", 19, 10, 40, False),  # repeated lines to 1000 lines
+    ("repeat_rate", 19, 10, 40, False),  # repeated words to 1000 words
+    ("capital_rate", 15, 5, 6, False),  # letters A-Z to 1000 characters of words
+    ("word_length", 15, 5, 4, True),  # mean, in tenths of a character
 )
-SPREADS = 3
-#: Documents that a group needs for a sketch of its own; else its language's, then the table's.
-MIN_ROWS = 50
+SPREADS = 5
+#: Documents that a group's sketch takes in from the group that it is part of, and parts of a document counted.
+PRIOR = 100
+PARTS = 1000
 
 
 def repeat_words(w: Column) -> Column:
@@ -120,48 +126,58 @@ def bucket(v: Column) -> Column:
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """(lang, source, level, rule, bucket, n): every sketch, of a source (level 2),
-    a language (1) and the table (0). Coarser ones are merged from finer ones."""
+    """(lang, source, rule, bucket, n): the sketch of each source, of rows that pass the base rule."""
     values = F.explode(
-        F.array(*[F.struct(F.lit(r).alias("rule"), bucket(F.col(r)).alias("bucket")) for r, _, _ in RULES])
+        F.array(*[F.struct(F.lit(r).alias("rule"), bucket(F.col(r)).alias("bucket")) for r, *_ in RULES])
     )
-    fine = (
-        stats.select("lang", "source", values.alias("v"))
+    return (
+        stats.filter(~base_failed())
+        .select("lang", "source", values.alias("v"))
         .groupBy("lang", "source", "v.rule", "v.bucket")
         .agg(F.count("*").alias("n"))
     )
-    merged = fine.select(
-        "rule",
-        "bucket",
-        "n",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")),
-                F.struct(F.lit(1).alias("level"), F.col("lang"), F.lit(None).cast("string").alias("source")),
-                F.struct(F.lit(2).alias("level"), F.col("lang"), F.col("source")),
-            )
-        ).alias("g"),
-    )
-    return merged.groupBy("g.level", "g.lang", "g.source", "rule", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, rows and a low and high fence per rule)."""
-    group = Window.partitionBy("level", "lang", "source", "rule")
-    ranked = sketch.withColumns(
-        {"upto": F.sum("n").over(group.orderBy("bucket")), "rows": F.sum("n").over(group)}
-    )
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("rows") * q, F.col("bucket")))
-    quart = ranked.groupBy("level", "lang", "source", "rule").agg(
-        at(1).alias("q1"), at(3).alias("q3"), F.first("rows").alias("rows")
+def leaning(own: DataFrame, group: list[str], on: list[str], above: DataFrame) -> DataFrame:
+    """(group, rule, bucket, n) of each group's sketch with PRIOR documents dealt as ``above``, the
+    sketch of what it is part of by ``on``. Counts are in PARTS of a document."""
+    shares = above.select(
+        *[F.col(c).alias(f"above_{c}") for c in (*on, "rule")], "bucket", F.col("n").cast("decimal(38,0)").alias("n"),
+        F.sum("n").over(Window.partitionBy(*on, "rule")).cast("decimal(38,0)").alias("total"),
+    )
+    part_of = F.col("rule") == F.col("above_rule")
+    for c in on:
+        part_of = part_of & F.col(c).eqNullSafe(F.col(f"above_{c}"))
+    taken = (
+        own.select(*group, "rule")
+        .distinct()
+        .join(shares, part_of)
+        .select(*group, "rule", "bucket", F.expr(f"cast((n * {PRIOR * PARTS}) div total as bigint)").alias("n"))
     )
+    whole = own.select(*group, "rule", "bucket", (F.col("n") * PARTS).alias("n")).unionByName(taken)
+    return whole.groupBy(*group, "rule", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fences(fine: DataFrame) -> DataFrame:
+    """(lang, source, a low and a high fence per rule) from the sources' sketches."""
+    merged = lambda *group: fine.groupBy(*group, "rule", "bucket").agg(F.sum("n").alias("n"))
+    of_lang = leaning(merged("lang"), ["lang"], [], merged())
+    sketch = leaning(fine, ["lang", "source"], ["lang"], of_lang)
+    group = Window.partitionBy("lang", "source", "rule")
+    ranked = sketch.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
+    at = lambda q: F.min(F.when(F.col("upto") * 20 >= F.col("total") * q, F.col("bucket")))
     made = []
-    for rule, least, lower in RULES:
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * SPREADS
-        made.append(F.max(F.when(F.col("rule") == rule, F.col("q3") + spread)).alias(f"{rule}_high"))
+    quantiles = ranked.groupBy("lang", "source", "rule").agg(*[at(q).alias(f"q{q}") for q in sorted({q for _, hi, lo, _, _ in RULES for q in (hi, lo)})])
+    for rule, hi, lo, least, lower in RULES:
+        spread = F.greatest(F.col(f"q{hi}") - F.col(f"q{lo}"), F.lit(least)) * SPREADS
+        made.append(F.max(F.when(F.col("rule") == rule, F.col(f"q{hi}") + spread)).alias(f"{rule}_high"))
         if lower:
-            made.append(F.max(F.when(F.col("rule") == rule, F.col("q1") - spread)).alias(f"{rule}_low"))
-    return quart.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *made)
+            made.append(F.max(F.when(F.col("rule") == rule, F.col(f"q{lo}") - spread)).alias(f"{rule}_low"))
+    return quantiles.groupBy("lang", "source").agg(*made)
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -169,42 +185,26 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Nulls: a null text has no words, so it fails the base rule; a null language or
     source is a group like any other; a null ``doc_id`` is kept. Repeated rows are
-    judged and counted each. Other columns are not read. No rows give none.
+    judged and counted each. Other columns are not read. No rows give none. A value at a
+    fence passes.
 
     The statistics are written once in the shared folder, since the sketches and the
-    verdicts both read them; texts never enter a shuffle. A source's row of cutoffs
-    holds its language's or the table's where the source is too small, so one join
-    serves all; its hot key is one that a skew join splits.
+    verdicts both read them; texts never enter a shuffle. Every group of a document that
+    passes the base rule has its row of cutoffs, so one join serves all; its hot key is
+    one that a skew join splits.
     """
     stats = rates(written(statistics(docs), "rules"))
-    cut = fences(sketches(stats)).filter(f"level = 0 or rows >= {MIN_ROWS}")
-    names = [f"{r}_{s}" for r, _, lower in RULES for s in (("high", "low") if lower else ("high",))]
-    groups = stats.select("lang", "source").distinct()
-    pick = lambda level, tag: cut.filter(F.col("level") == level).select(
-        F.col("lang").alias(f"{tag}_lang"), F.col("source").alias(f"{tag}_source"), *[F.col(n).alias(f"{tag}_{n}") for n in names]
-    )
-    own, of_lang, whole = pick(2, "s"), pick(1, "l"), pick(0, "t")
-    cutoffs = (
-        groups.join(own, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
-        .join(of_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & F.col("s_word_length_high").isNull(), "left")
-        .withColumn("one", F.lit(1))
-        .join(whole.withColumn("t_one", F.lit(1)), F.col("one") == F.col("t_one"), "left")
-        .select(
-            F.col("lang").alias("c_lang"),
-            F.col("source").alias("c_source"),
-            *[F.coalesce(f"s_{n}", f"l_{n}", f"t_{n}").alias(n) for n in names],
-        )
-    )
+    fine = written(sketches(stats), "sketches")
+    cutoffs = fences(fine).withColumnsRenamed({"lang": "c_lang", "source": "c_source"})
     cutoffs = written(cutoffs, "cutoffs")  # a plain table, so that the join below can be split
     failed = F.lit(False)
-    for rule, _, lower in RULES:
+    for rule, *_, lower in RULES:
         failed = failed | (F.col(rule) > F.col(f"{rule}_high"))
         if lower:
             failed = failed | (F.col(rule) < F.col(f"{rule}_low"))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         stats.join(cutoffs, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source")), "left")
-        .withColumns({"base_failed": base, "kept": ~base & ~failed})
+        .withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~F.coalesce(failed, F.lit(False))})
         .drop("c_lang", "c_source", "lang", "source")
     )
 
@@ -218,15 +218,14 @@ def op7_quality_rules(spark, sf_dir):
 def oracle() -> str:
     """The same rows in DuckDB SQL."""
     b = "((v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0))"
-    values = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {r} AS v FROM stats" for r, _, _ in RULES)
-    quart = []
-    for rule, least, lower in RULES:
-        quart.append(f"max(CASE WHEN rule = '{rule}' THEN q3 + {SPREADS} * greatest(q3 - q1, {least}) END) AS {rule}_high")
+    values = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {r} AS v FROM stats WHERE NOT base" for r, *_ in RULES)
+    rules = ", ".join(f"('{r}', {hi}, {lo}, {least})" for r, hi, lo, least, _ in RULES)
+    made = []
+    for rule, _, _, _, lower in RULES:
+        made.append(f"max(CASE WHEN rule = '{rule}' THEN qh + {SPREADS} * greatest(qh - ql, least) END) AS {rule}_high")
         if lower:
-            quart.append(f"max(CASE WHEN rule = '{rule}' THEN q1 - {SPREADS} * greatest(q3 - q1, {least}) END) AS {rule}_low")
-    names = [f"{r}_{s}" for r, _, lower in RULES for s in (("high", "low") if lower else ("high",))]
-    coalesced = ", ".join(f"coalesce(s.{n}, l.{n}, t.{n}) AS {n}" for n in names)
-    bad = " OR ".join([f"{r} > {r}_high" for r, _, _ in RULES] + [f"{r} < {r}_low" for r, _, low in RULES if low])
+            made.append(f"max(CASE WHEN rule = '{rule}' THEN ql - {SPREADS} * greatest(qh - ql, least) END) AS {rule}_low")
+    bad = " OR ".join([f"{r} > {r}_high" for r, *_ in RULES] + [f"{r} < {r}_low" for r, *_, low in RULES if low])
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
@@ -242,17 +241,18 @@ counts AS (
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines
   FROM d JOIN ln USING (r) LEFT JOIN n USING (r) LEFT JOIN rep USING (r)),
 stats AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_rate, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_rate,
-  1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate, 1000 * n_capitals // greatest(word_chars, 1) AS capital_rate, 10 * word_chars // greatest(n_words, 1) AS word_length FROM counts),
-vals AS (SELECT lang, source, rule, {b} AS bucket FROM ({values})),
-levels AS (SELECT 2 AS level, lang, source, rule, bucket FROM vals UNION ALL SELECT 1, lang, NULL, rule, bucket FROM vals UNION ALL SELECT 0, NULL, NULL, rule, bucket FROM vals),
-sk AS (SELECT level, lang, source, rule, bucket, count(*) AS n FROM levels GROUP BY ALL),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS rows FROM sk),
-q AS (SELECT level, lang, source, rule, min(CASE WHEN upto * 4 >= rows THEN bucket END) AS q1, min(CASE WHEN upto * 4 >= rows * 3 THEN bucket END) AS q3, max(rows) AS rows FROM ranked GROUP BY ALL),
-cut AS (SELECT level, lang, source, {', '.join(quart)} FROM q GROUP BY ALL HAVING level = 0 OR max(rows) >= {MIN_ROWS}),
-chosen AS (SELECT x.r, x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, {', '.join('x.' + r for r, _, _ in RULES)}, {coalesced}
-  FROM stats x LEFT JOIN cut s ON s.level = 2 AND s.lang IS NOT DISTINCT FROM x.lang AND s.source IS NOT DISTINCT FROM x.source
-  LEFT JOIN cut l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM x.lang LEFT JOIN cut t ON t.level = 0)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({bad}) AS kept
-FROM chosen"""
+  1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate, 1000 * n_capitals // greatest(word_chars, 1) AS capital_rate, 10 * word_chars // greatest(n_words, 1) AS word_length,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base FROM counts),
+rules(rule, hi, lo, least) AS (VALUES {rules}),
+fine AS (SELECT lang, source, rule, {b} AS bucket, count(*) AS n FROM ({values}) GROUP BY ALL),
+whole AS (SELECT rule, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY rule) AS total FROM fine GROUP BY rule, bucket),
+langs AS (SELECT lang, rule, bucket, sum(n) AS n FROM (SELECT lang, rule, bucket, {PARTS} * n AS n FROM fine
+  UNION ALL SELECT lang, rule, bucket, {PRIOR * PARTS} * n // total FROM (SELECT DISTINCT lang, rule FROM fine) JOIN whole USING (rule)) GROUP BY ALL),
+part AS (SELECT *, sum(n) OVER (PARTITION BY lang, rule) AS total FROM langs),
+own AS (SELECT lang, source, rule, bucket, sum(n) AS n FROM (SELECT lang, source, rule, bucket, {PARTS} * n AS n FROM fine
+  UNION ALL SELECT g.lang, g.source, rule, bucket, {PRIOR * PARTS} * n // total FROM (SELECT DISTINCT lang, source, rule FROM fine) g JOIN part USING (rule) WHERE part.lang IS NOT DISTINCT FROM g.lang) GROUP BY ALL),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM own),
+q AS (SELECT lang, source, rule, any_value(least) AS least, min(CASE WHEN upto * 20 >= total * hi THEN bucket END) AS qh, min(CASE WHEN upto * 20 >= total * lo THEN bucket END) AS ql FROM ranked JOIN rules USING (rule) GROUP BY ALL),
+cut AS (SELECT lang, source, {', '.join(made)} FROM q GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed, NOT base AND NOT coalesce({bad}, false) AS kept
+FROM stats LEFT JOIN cut ON cut.lang IS NOT DISTINCT FROM stats.lang AND cut.source IS NOT DISTINCT FROM stats.source"""
