@@ -23,9 +23,10 @@ WINDOW = GRAM + RUN - 1
 #: The low bits of a kept hash hold its place, inverted so that the last of equals is least.
 PLACE_BITS = 24
 PLACES = (1 << PLACE_BITS) - 1
-#: Rows up to which the items' hashes, and the documents' hits, are broadcast. Beyond, the
-#: joins shuffle; a hot hash or document is then a skew join's to split.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which the items' hashes, and the documents' hits, are broadcast, and of a row of
+#: hashes. Beyond, the joins shuffle; a hot hash or document is then a skew join's to split.
+BROADCAST_BYTES = 16 << 20
+PRINT_BYTES = 40
 
 
 def _let(value: Column, then) -> Column:
@@ -75,8 +76,8 @@ def _place_of(kept: Column) -> Column:
     return F.lit(PLACES).cast("bigint") - kept.bitwiseAND(F.lit(PLACES).cast("bigint"))
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -90,19 +91,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     give equal rows; other columns aren't read; an empty benchmark hits nothing. Places
     are kept modulo 2**24 words; all that agree with one are compared.
     """
-    items = written(
-        benchmark.select("item_id", item_words("text").alias("item")).filter(F.size("item") > 0).distinct(), "items"
-    )
+    items = benchmark.select("item_id", item_words("text").alias("item")).filter(F.size("item") > 0).distinct()
+    items = written(items.withColumn("item_no", F.monotonically_increasing_id()), "items")
     short = [r[0] for r in items.filter(F.size("item") < WINDOW).select(F.size("item")).distinct().collect()]
     kept = F.when(F.size("item") >= WINDOW, winnowed(F.col("item")))
     for n in sorted(short):
         kept = kept.when(F.size("item") == n, whole_grams(F.col("item"), n))
     prints = written(
-        items.select("item_id", "item", F.explode(kept).alias("kept")).select(
-            _hash_of(F.col("kept")).alias("hash"), _place_of(F.col("kept")).alias("item_place"), "item_id", "item"
+        items.select("item_no", F.explode(kept).alias("kept")).select(
+            _hash_of(F.col("kept")).alias("hash"), _place_of(F.col("kept")).alias("item_place"), "item_no"
         ),
         "prints",
     )
+    size = prints.count() * PRINT_BYTES
     hashes = prints.select("hash").distinct()
 
     text = F.coalesce("text", F.lit(""))
@@ -112,19 +113,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     found = (
         rows.select("doc_id", "text_hash", F.explode(_let(item_words(F.col("text")), of_words)).alias("kept"))
         .withColumn("hash", _hash_of(F.col("kept")))
-        .join(_bounded(hashes, hashes.count()), "hash", "left_semi")
+        .join(_bounded(hashes, size), "hash", "left_semi")
         .select("doc_id", "text_hash", "hash", _place_of(F.col("kept")).alias("place"))
     )
-    lines = (
-        found.join(_bounded(prints, prints.count()), "hash")
-        .select("doc_id", "text_hash", "item_id", "item", (F.col("place") - F.col("item_place")).alias("shift"))
-        .distinct()
+    # how an item lies to a document, by numbers; the item's words come in once for each such pair
+    lines = written(
+        found.join(_bounded(prints, size), "hash")
+        .groupBy("doc_id", "text_hash", "item_no")
+        .agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts")),
+        "lines",
+    )
+    hits = written(
+        lines.join(items, "item_no")
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("lines"))
+        .agg(F.collect_list(F.struct("item_id", "item", "shifts")).alias("lines")),
+        "hits",
     )
-    lines = written(lines, "hits")
-    n_lines = lines.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    hit = _bounded(lines.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "lines"), n_lines)
+    held = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(F.array_join(x["item"], " ")) + 16 * F.size(x["item"]) + 8 * F.size(x["shifts"]) + 40)
+    size = hits.agg(F.coalesce(F.sum(held + 40), F.lit(0))).first()[0]
+    hit = _bounded(hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "lines"), size)
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
     joined = rows.join(hit, same, "left").select("doc_id", "lines", item_words(F.col("text")).alias("w"), *keep and ["kept"])
     settled = joined.select(
@@ -142,7 +149,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
         F.filter(ids, lambda x: x.isNotNull()).alias("items"),
         *keep and ["kept"],
     )
-    drop_written(items)
+    for t in (items, prints, lines):
+        drop_written(t)
     return out.select(
         "doc_id",
         "n_words",
@@ -173,15 +181,11 @@ def _settle(w: Column, lines: Column) -> Column:
     def covered(line: Column) -> Column:
         size = F.least(F.size(line["item"]), F.lit(WINDOW))
         laps = F.sequence(F.lit(0), F.shiftright(F.size(w), PLACE_BITS))
+        shifts = F.array_distinct(F.flatten(F.transform(line["shifts"], lambda x: F.transform(laps, lambda lap: (x + lap.cast("bigint") * F.lit(PLACES + 1)).cast("int")))))
         return F.flatten(
             F.transform(
-                laps,
-                lambda lap: _let(
-                    (line["shift"] + lap.cast("bigint") * F.lit(PLACES + 1)).cast("int"),
-                    lambda shift: F.flatten(
-                        F.transform(starts(line, shift), lambda s: F.sequence(shift + s, shift + s + size - 1))
-                    ),
-                ),
+                shifts,
+                lambda shift: F.flatten(F.transform(starts(line, shift), lambda s: F.sequence(shift + s, shift + s + size - 1))),
             )
         )
 
