@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.sources.shared import drop_written, new_path, ship, written
 
-__all__ = ["SPACES", "WORD_BREAK", "Query", "ascii_lower", "beside", "drop_written", "new_path", "ship", "table", "words", "written"]
+__all__ = ["SPACES", "WORD_BREAK", "Query", "ascii_lower", "beside", "drop_written", "fresh", "new_path", "ship", "table", "words", "written"]
 
 #: Characters that separate words in most contracts: space, \t, \n, \v, \f, \r.
 SPACES = "\x20\t\n\x0b\x0c\r"
@@ -32,6 +32,14 @@ def beside(keep: tuple[str, ...], outputs) -> tuple[str, ...]:
     return tuple(c for c in dict.fromkeys(keep) if c.lower() not in taken)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or with enough underscores behind it to differ from every column's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text):
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -15,8 +15,9 @@ How it stays within bounds on groups of copies:
   and others are first tried against hubs only. Then, in the lists whose members are not
   yet in one component, pairs from different components are tried, all of them. So no
   link between components is lost, and pairs inside a component are not made.
-- Lists of frequent tokens, known beforehand, are counted and joined by plans that
-  Spark can split; others can't be large.
+- Every list is counted by its key alone, map-side, and its members and hub meet in joins
+  of plain tables, which Spark can split. A long list that is still open is cut by the
+  tokens of its members' prefixes under the second order: linked members share one.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import drop_written, table, written
+from quire.llm.common import drop_written, fresh, ship, table, written
 from quire.llm.components import components
 
 #: A shingle counts as frequent if so many of the documents of one chunk have it; a chunk
@@ -40,6 +41,8 @@ from quire.llm.components import components
 CHUNK_COUNT = 3
 CHUNK_SHINGLES = 1 << 22
 FREQUENT = 1_000_000
+#: Open lists of more members are cut by the second order's tokens before pairs are made.
+LONG_LIST = 1000
 #: Ids up to this many are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -221,22 +224,36 @@ def _may_match(na: Column, pa_: Column, nb: Column, pb: Column, rule: Rule) -> C
     )
 
 
-def _posting_lists(reps: DataFrame, rule: Rule) -> DataFrame:
-    """Members (key, id, n, pos, hub) of all lists of the first order with two or more;
-    the hub is a struct of pos, n and id."""
+def _posting_lists(reps: DataFrame) -> DataFrame:
+    """Members (key, id, n, pos, hub, size) of all lists of the first order with two or more;
+    the hub is a struct of pos, n and id. Written."""
     posts = reps.select("id", "n", F.posexplode("k1").alias("pos", "key"))
-    own = F.struct("pos", "n", "id")
-    frequent = F.shiftrightunsigned("key", int(_CLASS)) > 0
-    by_key = Window.partitionBy("key")
-    rare = (
-        posts.filter(~frequent)
-        .withColumns({"size": F.count("*").over(by_key), "hub": F.min(own).over(by_key)})
-        .filter("size > 1")
-        .select("key", "id", "n", "pos", "hub")
-    )
-    often = posts.filter(frequent)
-    lists = often.groupBy("key").agg(F.count("*").alias("size"), F.min(own).alias("hub")).filter("size > 1")
-    return rare.unionByName(often.join(lists.select("key", "hub"), "key").select("key", "id", "n", "pos", "hub"))
+    shared = written(posts.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
+    members = written(posts.join(shared, "key"), "members")
+    hubs = written(members.groupBy("key").agg(F.min(F.struct("pos", "n", "id")).alias("hub")), "hubs")
+    lists = written(members.join(hubs, "key").select("key", "id", "n", "pos", "hub", "size"), "lists")
+    for t in (shared, members, hubs):
+        drop_written(t)
+    return lists
+
+
+def _across(open_: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of members of one list that aren't in one component and may match."""
+    columns = ("id", "n", "pos", "label")
+
+    def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
+        left, right = (rows.select(*on, *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "xy")
+        apart = F.col("x_label") < F.col("y_label")
+        match = _may_match(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), rule)
+        return left.join(right, on).filter(apart & match).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+
+    short, long = (written(open_.filter(c), "open") for c in (F.col("size") <= LONG_LIST, F.col("size") > LONG_LIST))
+    found = pairs(short, ["key"])
+    if not long.isEmpty():
+        second = reps.select(F.col("id").alias("second_id"), F.explode("k2").alias("second"))
+        cut = written(long.join(second, F.col("id") == F.col("second_id")).drop("second_id"), "cut")
+        found = found.unionByName(pairs(cut, ["key", "second"]))
+    return found.distinct()
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -313,6 +330,7 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     with the links of each of their texts, and give a row each; other columns aren't
     read; no rows give none.
     """
+    ship(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     survey = written(_survey(rows, rule), "survey")
     orders = _orders(survey)
@@ -323,7 +341,7 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     )
     copies = written(_copies(members, groups), "copies")
     reps = written(_first_ones(rows, copies, groups, rule, orders), "prefixes")
-    lists = written(_posting_lists(reps, rule), "lists")
+    lists = _posting_lists(reps)
 
     own, hub = (F.col("n"), F.col("pos")), (F.col("hub.n"), F.col("hub.pos"))
     stars = lists.filter((F.col("id") != F.col("hub.id")) & _may_match(*own, *hub, rule)).select(
@@ -334,23 +352,13 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     labels = written(components(star_links.unionByName(copies)), "labels")
 
     placed = lists.drop("hub").join(_few(labels), F.col("id") == F.col("node"), "left").select(
-        "key", "id", "n", "pos", F.coalesce("component", "id").alias("label")
+        "key", "id", "n", "pos", "size", F.coalesce("component", "id").alias("label")
     )
     open_keys = (
         placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key")
     )
     open_ = written(placed.join(open_keys, "key", "left_semi"), "open")
-    left, right = (open_.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "pos", "label")]) for s in "xy")
-    across = (
-        left.join(right, "key")
-        .filter(
-            (F.col("x_label") < F.col("y_label"))
-            & _may_match(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), rule)
-        )
-        .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
+    across = _across(open_, reps, rule).join(tried, ["a", "b"], "left_anti")
     rest = written(_filtered(across, reps, rule), "rest")
     more = _verified(rest, rows, rule)
     contracted = (
@@ -394,17 +402,18 @@ def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     Of rows that share an id the one with the least text stays. Rows without words or
     without an id stay.
     """
+    gone, twice, place = (fresh(docs.columns, name) for name in ("gone", "twice", "place"))
     classes = written(join(docs, rule), "classes")
-    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    twice = classes.filter("doc_id is not null").groupBy(F.col("doc_id").alias("twice")).count().filter("count > 1").select("twice")
-    left = docs.join(_few(gone), F.col("doc_id") == F.col("gone"), "left_anti")
-    if twice.isEmpty():
+    lost = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    several = classes.filter("doc_id is not null").groupBy(F.col("doc_id").alias(twice)).agg(F.count("*").alias("n")).filter("n > 1").select(twice)
+    left = docs.join(_few(lost), F.col("doc_id") == F.col(gone), "left_anti")
+    if several.isEmpty():
         return left
-    twice = _few(twice)
-    shared = left.join(twice, F.col("doc_id") == F.col("twice"), "left_semi")
+    several = _few(several)
+    shared = left.join(several, F.col("doc_id") == F.col(twice), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", *[c for c in docs.columns if c not in ("doc_id", "text")])])
-    first = shared.withColumn("quire_k", F.row_number().over(order)).filter("quire_k = 1").drop("quire_k")
-    return left.join(twice, F.col("doc_id") == F.col("twice"), "left_anti").unionByName(first)
+    first = shared.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
+    return left.join(several, F.col("doc_id") == F.col(twice), "left_anti").unionByName(first)
 
 
 def op4_jaccard_join(spark, sf_dir):

@@ -61,6 +61,26 @@ def test_join_equals_brute_force_on_mutated_copies(spark, k, per_mille):
     assert joined(spark, rows, jaccard.Rule(k, per_mille)) == brute_components([x[:2] for x in rows], k, per_mille)
 
 
+def test_join_with_long_lists_few_frequent_tokens_and_no_broadcasts(spark, monkeypatch):
+    """One shingle is in every document, chunks hold a few documents each, and the order of tokens knows
+    next to none of the frequent ones."""
+    for name, value in (("LONG_LIST", 2), ("CHUNK_SHINGLES", 150), ("FREQUENT", 3), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for base in range(8):
+        text = [r.choice(words) for _ in range(r.randint(6, 40))]
+        for _ in range(12):
+            copy = list(text)
+            for _ in range(r.choice([0, 1, 1, 2, 4])):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            rows.append((len(rows) + 1, "the same three words " + " ".join(copy), 0))
+    rows += [(200 + i, "the same three", 0) for i in range(5)] + [(300 + i, f"the same three x{i}", 0) for i in range(30)]
+    for k, per_mille in ((3, 700), (1, 500)):
+        assert joined(spark, rows, jaccard.Rule(k, per_mille)) == brute_components([x[:2] for x in rows], k, per_mille)
+
+
 def test_join_of_nothing(spark):
     assert joined(spark, [], jaccard.Rule(3, 900)) == []
     assert joined(spark, [(1, None, 0)], jaccard.Rule(3, 900)) == [("1", 0, "1")]
@@ -71,6 +91,10 @@ def test_one_of_each_keeps_the_first(spark):
     rows = [(5, text, 1), (2, text, 2), (2, text, 2), (7, "a b c d e f g", 3), (8, "", 4), (9, None, 5), (None, text, 6)]
     left = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n long"), jaccard.Rule(5, 800)).collect()
     assert sorted(str(r.doc_id) for r in left) == ["2", "7", "8", "9", "None"]
+    names = ["gone", "twice", "place", "component_id", "id", "key", "a", "u", "node", "Gone_"]
+    clashing = spark.createDataFrame([(*x[:2], *range(len(names))) for x in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    kept = jaccard.one_of_each(clashing, jaccard.Rule(5, 800))
+    assert kept.columns == clashing.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "7", "8", "9", "None"]
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -326,6 +350,42 @@ def test_repeat_words_equal_brute_force(spark):
         assert n == len({j + k for j, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)})
 
 
+def test_cutoffs_come_from_the_data(spark):
+    """Labelled junk that passes the base rule falls to the sketches' fences, good documents don't, and
+    fences differ by group."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    judged = quality_rules.judge(docs).join(labels, "doc_id").filter("not base_failed").collect()
+    junk, good = [r for r in judged if not r.quality], [r for r in judged if r.quality]
+    assert sum(70 <= r.symbol_rate <= 130 for r in junk) >= 5 and not any(r.kept for r in junk)
+    assert sum(r.kept for r in good) >= 0.98 * len(good)
+    stats = quality_rules.rates(quality_rules.statistics(docs))
+    cut = quality_rules.fences(quality_rules.sketches(stats)).collect()
+    assert len({r.repeat_rate_high for r in cut}) > 5 and len({r.word_length_high for r in cut}) > 2
+
+
+def test_small_groups_lean_on_large_ones(spark):
+    """A source of two documents takes its language's cutoffs, one of many its own."""
+    words = lambda n, stars: "".join(f"word{i} " for i in range(n)) + "* " * stars
+    rows = [(i, words(100 + i % 7, 0), "en", "plain") for i in range(300)] + [(1000 + i, words(100 + i % 7, 30 + i % 9), "en", "starry") for i in range(300)]
+    rows += [(2000, words(100, 30), "en", "small"), (2001, words(100, 0), "en", "small"), (2002, words(100, 30), None, None)]
+    rows += [(3000, words(100, 30), "en", "plain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    assert all(kept[1000 + i] for i in range(300)) and all(kept[i] for i in range(300))
+    assert not kept[3000] and kept[2000] and kept[2001]
+
+
+def test_values_at_a_fence_pass(spark):
+    rows = [(i, "word " * 4 + " ".join(f"w{i}x{j}" for j in range(96)) + " #" * (i % 3), "en", "s") for i in range(60)]
+    stats = quality_rules.rates(quality_rules.statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    cut = quality_rules.fences(quality_rules.sketches(stats)).first()
+    most = max(r.symbol_rate for r in stats.collect())
+    assert cut.symbol_rate_high >= most  # quartiles on bucket edges, ties among rows
+    edges = {v: r for v, r in spark.range(5000).select("id", quality_rules.bucket(F.col("id")).alias("b")).collect()}
+    assert all(edges[v] <= v and (v < 32 and edges[v] == v or v - edges[v] < max(1, v / 16)) for v in edges)
+
+
 def test_quality_rules_odd_input(spark):
     rows = [(1, None, None, None, 1), (2, "", "en", "s", 1), (None, "word " * 60, "en", None, 1), (3, "a b\n" * 40, "en", "s", 1), (3, "a b\n" * 40, "en", "s", 1)]
     got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept long")).collect()
@@ -359,6 +419,37 @@ def test_decontamination_equals_sql_on_short_items(spark, tmp_path):
     assert carried.columns == ["doc_id", "kept"] and carried.count() == 202
 
 
+def test_decontamination_of_long_texts_and_shuffled_joins(spark, tmp_path, monkeypatch):
+    """Places that wrap around, joins without broadcasts, and extra columns of the joins' names."""
+    import duckdb
+
+    monkeypatch.setattr(decontaminate, "PLACE_BITS", 4)
+    monkeypatch.setattr(decontaminate, "PLACES", 15)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    r = random.Random(20)
+    word = lambda: r.choice(["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l"])
+    items = [(i, " ".join(word() for _ in range(r.choice([3, 10, 12, 40])))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = [word() for _ in range(r.randint(0, 120))]
+        for _ in range(r.randint(0, 3)):
+            own = r.choice(items)[1].split()
+            at = r.randrange(len(w) + 1)
+            w[at:at] = own[r.choice([0, 0, 5]) :]
+        docs.append((i, " ".join(w), 1, 2, 3))
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_no long, hash long, lines long")
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("shifts", F.lit(1))
+    d.write.parquet(str(tmp_path / "documents"))
+    b.write.parquet(str(tmp_path / "benchmark"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}/*.parquet'")
+    got = decontaminate.contamination(d, b).drop("items")
+    want = con.execute(decontaminate.ORACLE)
+    assert canonical([tuple(x) for x in got.collect()], got.columns) == canonical(want.fetchall(), [c[0] for c in want.description])
+    assert got.filter("n_hit > 0").count() > 20
+
+
 # ---- pipeline --------------------------------------------------------------------------------
 
 
