@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.shared import drop_written, new_path, ship, written
+from quire.sources.shared import drop_written, new_path, remove, scope, ship, written
 
-__all__ = ["SPACES", "WORD_BREAK", "Query", "ascii_lower", "beside", "drop_written", "fresh", "new_path", "ship", "table", "words", "written"]
+__all__ = ["SPACES", "WORD_BREAK", "Query", "ascii_lower", "beside", "drop_written", "fresh", "new_path", "remove", "scope", "ship", "table", "words", "written"]
 
 #: Characters that separate words in most contracts: space, \t, \n, \v, \f, \r.
 SPACES = "\x20\t\n\x0b\x0c\r"

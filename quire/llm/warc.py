@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import new_path, ship, table, written
+from quire.llm.common import new_path, remove, scope, ship, table, written
 
 END = "\r\n"
 DATE = "2025-01-01T00:00:00Z"
@@ -202,16 +202,18 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
     headers; line ends in a url are percent-encoded; repeated rows are captures each;
     other columns are not read; no rows give an archive without records.
     """
-    ship(pages.sparkSession)
-    members = records(decide_revisits(pages)).mapInArrow(_members, "member binary")
-    # a string column carries the bytes as they are; the separator is given in a one-byte encoding
-    (
-        members.select(F.col("member").cast("string").alias("value"))
-        .write.option("lineSep", MEMBER_END.decode("latin-1"))
-        .option("encoding", "ISO-8859-1")
-        .option("maxRecordsPerFile", records_per_file)
-        .text(path)
-    )
+    spark = pages.sparkSession
+    ship(spark)
+    with scope(spark):  # the captures' table goes once their archives are written
+        members = records(decide_revisits(pages)).mapInArrow(_members, "member binary")
+        # a string column carries the bytes as they are; the separator is given in a one-byte encoding
+        (
+            members.select(F.col("member").cast("string").alias("value"))
+            .write.option("lineSep", MEMBER_END.decode("latin-1"))
+            .option("encoding", "ISO-8859-1")
+            .option("maxRecordsPerFile", records_per_file)
+            .text(path)
+        )
 
 
 def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, list[str]], bytes]]:
@@ -342,10 +344,12 @@ def assemble(recs: DataFrame) -> DataFrame:
 
 def op2_warc(spark, sf_dir):
     """Sizes and digests are worked out from the assembled captures' payloads; a revisit, which
-    has none, gives those of its headers. Its page is looked up by the record it names."""
+    has none, gives those of its headers. Its page is looked up by the record it names. The
+    archives are the query's own and go once all their records are in a table."""
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     recs = written(read_archives(spark, path), "records")
+    remove(spark, path)
     payload = F.when(F.col("record_type") == "response", F.expr("substring(block, payload_start + 1)"))
     got = assemble(recs).select(
         "page_id",
