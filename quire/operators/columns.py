@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import text as X
 from quire.operators.blocks import DEFAULT_BODY_SIZE, PAGE
+from quire.operators.kernels import MIN_GUTTER_RATIO, ROUGH, STRICT
 
 # fixed values
-MIN_GUTTER_RATIO = 0.035
-ROUGH, STRICT = 0.50, 0.08
 HEADING_SIZE, MAX_HEADING_CHARS, HEADING_BOLD = 1.12, 120, 0.6
 EQUATION_RATIO = 0.5
 

@@ -27,6 +27,7 @@ MAX_LABEL_CHARS, SMALLER_THAN_BODY = 60, 0.95
 CAPTION_REACH, CAPTION_OVERLAP = 24.0, 0.5
 EQUATION_RATIO = 0.5
 DEFAULT_BODY_SIZE = 10.0
+MIN_GUTTER_RATIO, ROUGH, STRICT = 0.035, 0.50, 0.08
 
 # patterns are Unicode-aware in Python without a flag
 CAPTION = re.compile(X.CAPTION.replace("(?iU)", "(?i)"))
@@ -315,6 +316,59 @@ def label_by_captions(blocks: list[Block]) -> None:
             images[ai].kind = "table" if TABLE_CAPTION.match(captions[ci].text) else "figure"
 
 
+def profile(boxes: list[Box], bins: int) -> list[tuple[int, int, float]]:
+    """(start, end, height) along a page's width: how much block height stands on each stretch."""
+    steps = {0: 0.0}
+    for x0, y0, x1, y1 in boxes:
+        start, end, h = max(int(x0), 0), min(int(x1) + 1, bins), max(y1 - y0, 0.0)
+        if start < end:
+            steps[start] = steps.get(start, 0.0) + h
+            steps[end] = steps.get(end, 0.0) - h
+    places = sorted(p for p in steps if p < bins)
+    out, height = [], 0.0
+    for start, end in zip(places, [*places[1:], bins], strict=True):
+        height += steps[start]
+        out.append((start, end, round(height, 6)))
+    return out
+
+
+def low_runs(along: list[tuple[int, int, float]], ratio: float, width: float, bins: int) -> list[tuple[int, int]]:
+    """Interior runs at or below ``ratio`` of the peak that are wide enough."""
+    peak = max(h for _, _, h in along)
+    if peak <= 0:
+        return []
+    runs: list[tuple[int, int]] = []
+    for start, end, h in along:
+        if h <= peak * ratio:
+            if runs and runs[-1][1] == start:
+                runs[-1] = (runs[-1][0], end)
+            else:
+                runs.append((start, end))
+    return [(s, e) for s, e in runs if s > 0 and e < bins and e - s >= width * MIN_GUTTER_RATIO]
+
+
+def column_of(x: float, edges: list[float]) -> int:
+    inside, n = sum(e <= x for e in edges) - 1, len(edges) - 1
+    return inside if 0 <= inside < n else n - 1
+
+
+def crosses_columns(box: Box, edges: list[float]) -> bool:
+    return column_of(box[0] + 1.0, edges) != column_of(max(box[2] - 1.0, box[0]), edges)
+
+
+def column_edges(boxes: list[Box], width: float) -> list[float]:
+    """Borders of a page's columns, its own included: gutters are found loosely, then strictly among
+    the boxes that stay inside the loosely found columns."""
+    bins = max(math.floor(width), 1)
+    between = lambda runs: [0.0, *((s + e) / 2 for s, e in runs), width]
+    rough = low_runs(profile(boxes, bins), ROUGH, width, bins)
+    if not rough:
+        return between([])
+    edges = between(rough)
+    within = [b for b in boxes if not crosses_columns(b, edges)]
+    return between(low_runs(profile(within, bins), STRICT, width, bins))
+
+
 def arrange(blocks: list[Block], drawings: list[tuple[Box, bool]], page_width: float) -> list[Block]:
     """A page's blocks once figures and tables are found, formulas joined, and labels absorbed.
     drawings: boxes, and whether they are infinite."""

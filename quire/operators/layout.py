@@ -192,13 +192,35 @@ def equation_boxes(blocks: DataFrame) -> DataFrame:
     return _per_page(rows, make)
 
 
+def page_measures(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(paper_id, page, edges, body_size) of every page: its columns' borders and its body size.
+
+    Boxes and sizes of a page meet in one row, without texts, and one map works both out; the steps by
+    themselves are ``columns.gutters`` and ``blocks.body_sizes``.
+    """
+    ship(blocks.sparkSession)
+    one = F.struct("x0", "y0", "x1", "y1", "sizes")
+    rows = pages.select(*PAGE, "width").join(blocks.groupBy(*PAGE).agg(F.collect_list(one).alias("blocks")), PAGE, "left")
+    schema = pa.schema([("paper_id", pa.string()), ("page", pa.int32()), ("edges", pa.list_(pa.float64())), ("body_size", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            out = []
+            for row in batch.to_pylist():
+                own = row["blocks"] or ()
+                boxes = [(b["x0"], b["y0"], b["x1"], b["y1"]) for b in own]
+                sizes = [(s["size"], s["chars"]) for b in own for s in b["sizes"] or ()]
+                out.append({**{c: row[c] for c in PAGE}, "edges": K.column_edges(boxes, row["width"]), "body_size": K.weighted_median(sizes)})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return rows.mapInArrow(run, "paper_id string, page int, edges array<double>, body_size double")
+
+
 def to_regions(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """The region table (without sections) of arranged blocks, which are read for sizes, for
-    gutters and for themselves, and so are written first."""
+    """The region table (without sections) of arranged blocks, which are read for their pages'
+    measures and for themselves, and so are written first."""
     blocks = written(blocks, "blocks")
-    sizes = B.body_sizes(blocks)
-    page_edges = O.edges(O.gutters(blocks, pages), pages)
-    ordered = O.reading_order(blocks, page_edges).join(sizes, PAGE, "left")
+    ordered = O.reading_order(blocks, page_measures(blocks, pages))
     kind = O.classify(*[F.col(c) for c in ("text", "font_size", "body_size", "image", "math_ratio", "bold_ratio", "kind")])
     return ordered.select(
         F.concat_ws("::", "paper_id", F.lit("region"), F.col("order_index").cast("string")).alias("region_id"),

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names. Where it is unset, a temporary folder is made if
-    everything runs in one process; any other master is refused."""
+    """What ``spark.checkpoint.dir`` names. Where it is unset, a temporary folder is made, and removed
+    at the driver's end, if everything runs in one process; any other master is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     base = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 
@@ -37,10 +41,28 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that are written inside: they go at its end, when what they were made for
+    has been read or written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, cleared when the driver ends."""
+    """A fresh path in the shared folder, cleared at the end of the scope around, else of the driver."""
     path = f"{shared_dir(spark)}/quire-{what}-{uuid.uuid4().hex}"
-    atexit.register(_remove_at_exit, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_remove_at_exit, spark, path)
     return path
 
 
@@ -69,7 +91,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     root = Path(__file__).resolve().parents[2]
-    archive = Path(tempfile.mkdtemp(prefix="quire-code-")) / "quire-code.zip"
+    folder = tempfile.mkdtemp(prefix="quire-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "quire-code.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for path in sorted((root / "quire").rglob("*.py")):
             z.write(path, path.relative_to(root))

@@ -275,3 +275,25 @@ def test_body_size_is_the_weighted_median(spark):
     df = spark.createDataFrame(rows, "paper_id string, page int, sizes array<struct<size:double,chars:int>>")
     assert {x.page: x.body_size for x in B.body_sizes(df).collect()} == want
     assert B.body_sizes(df.withColumn("sizes", F.array().cast("array<struct<size:double,chars:int>>"))).count() == 0
+
+
+def test_page_measures_equal_relational_steps(spark):
+    r = random.Random(22)
+    pages, blocks = [], []
+    for p in range(60):
+        width = r.choice([612.0, 595.5, 300.0])
+        pages.append((f"p{p % 7}", p, width, 792.0))
+        for i in range(r.choice([0, 1, 6, 30])):
+            x = r.choice([54.0, 54.0, 321.0, r.uniform(-20, width)])
+            y, w, h = r.uniform(0, 700), r.choice([237.0, 237.0, 500.0, 0.0, r.uniform(0, 90)]), r.choice([10.0, 40.5, 0.0])
+            sizes = r.choice([None, [], [(9.0, 30)], [(9.0, 3), (12.0, 3)], [(8.5, 7), (7.0, 0)]])
+            blocks.append((f"p{p % 7}", p, i, x, y, x + w, y + h, sizes))
+    pages = spark.createDataFrame(pages, "paper_id string, page int, width double, height double")
+    blocks = spark.createDataFrame(blocks, "paper_id string, page int, pos int, x0 double, y0 double, x1 double, y1 double, sizes array<struct<size:double,chars:int>>")
+    edges = {(x.paper_id, x.page): x.edges for x in O.edges(O.gutters(blocks, pages), pages).collect()}
+    body = {(x.paper_id, x.page): x.body_size for x in B.body_sizes(blocks).collect()}
+    got = layout.page_measures(blocks, pages).collect()
+    assert len(got) == 60 and sum(len(x.edges) > 2 for x in got) > 5
+    for x in got:
+        assert x.edges == edges[x.paper_id, x.page]
+        assert x.body_size == (body.get((x.paper_id, x.page)) or K.DEFAULT_BODY_SIZE)

@@ -247,3 +247,16 @@ def test_kwic_marks_the_first_mention(spark):
         "a0": ("c0", "… " + flat[at - 62 : at], "Figure 2", flat[at + 8 : at + 82] + " …"),
         "a1": ("c1", "z" * 150 + " …", "", ""),
     }
+
+
+def test_a_scope_owns_the_tables_written_inside(spark):
+    from pathlib import Path
+
+    from quire.sources import shared
+
+    base = Path(shared.shared_dir(spark))
+    before = set(base.iterdir())
+    with shared.scope(spark):
+        table = shared.written(spark.range(5), "kept")
+        assert table.count() == 5 and set(base.iterdir()) - before
+    assert set(base.iterdir()) == before
