@@ -102,6 +102,18 @@ def test_feed(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("2401.00001v2", "A wrapped title", "http://x/pdf", "2401.00001v2_A_wrapped_title.pdf")]
 
 
+def test_fetching_goes_on_after_failures(spark):
+    def get(url):
+        if url == "u3":
+            raise OSError("gone")
+        return b"%PDF " + url.encode() if url != "u2" else b"<html>"
+
+    found = spark.createDataFrame([(f"p{i}", "t", f"u{i}", f"p{i}.pdf") for i in range(1, 6)], "paper string, title string, pdf_url string, filename string")
+    have = spark.createDataFrame([("p5.pdf",)], "filename string")
+    got = {r.paper: (r.content and bytes(r.content), r.error) for r in feed.fetch(found, have, get, delay=0.0).collect()}
+    assert got == {"p1": (b"%PDF u1", None), "p2": (None, "not a PDF"), "p3": (None, "OSError: gone"), "p4": (b"%PDF u4", None)}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "My paper.pdf").write_bytes(b"%PDF-1.4 x")
     (tmp_path / "bad.PDF").write_bytes(b"html")
