@@ -85,3 +85,34 @@ def test_pipeline_on_odd_documents(spark, long_text):
         assert now.columns == list(corpus_pipeline.COLUMNS)
     out = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
     assert sorted((str(r.doc_id), r.n_tokens > 0) for r in out) == [("1", True), ("3", False), ("4", False), ("None", True)]
+
+
+def test_operators_reach_workers_by_themselves(tmp_path):
+    """On a caller's own DataFrames, with the package importable by the driver alone."""
+    import os
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from quire.llm import CALL
+docs = spark.createDataFrame([(1, "token=abcdef1 x"), (2, "a b c d")], "doc_id long, text string")
+"""
+    calls = {
+        "secrets": "secrets.scan(docs).collect()",
+        "bpe": "bpe.encode(docs).collect()",
+        "jaccard": "jaccard.join(docs, jaccard.Rule(3, 900)).collect()",
+        "toxicity": "toxicity.score(docs, toxicity.Model((), (), frozenset(), toxicity.UNTRAINED)).collect()",
+        "quality_model": "quality_model.score(docs, None).collect()",
+        "chat": "chat.format_conversations(docs.selectExpr('doc_id conv_id', '1 turn', 'text role', 'text')).collect()",
+        "warc": f"warc.write_archives(docs.selectExpr('doc_id page_id', 'text url', 'text html'), {str(tmp_path / 'w')!r}); warc.read_archives(spark, {str(tmp_path / 'w')!r}).collect()",
+    }
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for module, call in calls.items():
+        out = subprocess.run([sys.executable, "-c", code.replace("CALL", module) + call + "\nprint('good')"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+        assert out.stdout.strip().endswith("good"), (module, out.stderr[-1500:])
