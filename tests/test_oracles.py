@@ -32,3 +32,14 @@ def test_every_branch_is_exercised(spark):
     assert any(r.x0 is None for r in c) and any(r.page_start != r.page_end for r in c)
     assert QUERIES["links"](spark, SF).count() > 0
     assert {r.column_index for r in QUERIES["reading_order"](spark, SF).collect()} == {0, 1}
+
+
+def test_core_queries_without_a_dependency_of_the_others():
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; from quire.plans.queries import QUERIES; print(set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) <= set(QUERIES))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip().endswith("True"), out.stderr
