@@ -276,6 +276,6 @@ def oracle_sql() -> dict[str, str]:
         "headline": _with(f"SELECT r.paper_id, regions, sections, coalesce(c.n, 0) AS chunks, coalesce(placed, 0) AS placed, coalesce(a.n, 0) AS artifacts, coalesce(bm, '—') AS baseline_mid_word, coalesce(lm, '—') AS layout_mid_word FROM (SELECT paper_id, count(*) AS regions, count(DISTINCT section) FILTER (section <> 'unknown') AS sections FROM rg GROUP BY 1) r LEFT JOIN (SELECT paper_id, count(*) AS n, count(*) FILTER (section <> 'unknown') AS placed, {_percent(f'(count(*) FILTER ({_mid_text}))', 'count(*)')} AS lm FROM ch GROUP BY 1) c USING (paper_id) LEFT JOIN (SELECT paper_id, count(*) AS n FROM ar GROUP BY 1) a USING (paper_id) LEFT JOIN (SELECT paper_id, {_percent(f'(count(*) FILTER ({_mid_text}))', 'count(*)')} AS bm FROM bc GROUP BY 1) b USING (paper_id)", **_ALL, **base),
         "exemplars": _with(f"SELECT coalesce(b.paper_id, w.paper_id) AS paper_id, sha1(broken) AS broken_sha1, sha1(whole) AS whole_sha1 FROM (SELECT paper_id, arg_min(text, order_index) AS broken FROM bc WHERE {_mid('text')} GROUP BY 1) b FULL JOIN (SELECT paper_id, arg_min(text, order_index) AS whole FROM ch WHERE section <> 'unknown' AND contains(text, chr(10)) GROUP BY 1) w ON b.paper_id = w.paper_id", **_ALL, **base),
         "comparison": _with("SELECT paper_id, run, order_index, section, page, CAST(length(text) AS INTEGER) AS chars, CASE WHEN length(text) > 260 THEN substring(text, 1, 260) || ' …' ELSE text END AS shown FROM (SELECT b.paper_id, 'baseline' AS run, order_index, 'unknown' AS section, (SELECT max(page) FROM bp p WHERE p.paper_id = b.paper_id AND start <= order_index * 700) AS page, text FROM bc b WHERE BELOW UNION ALL SELECT paper_id, 'layout', order_index, section, page_start, text FROM ch WHERE BELOW)".replace("BELOW", _below("order_index", 12)), **_ALL, **base),
-        "file_sizes": "SELECT page_id, CASE WHEN n IS NULL OR n = 0 THEN '—' WHEN n / 1048576.0::DOUBLE >= 1 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.0f KB', n / 1024.0::DOUBLE) END AS size FROM (SELECT page_id, octet_length(encode(html)) * 100 AS n FROM pages)",
+        "file_sizes": "SELECT page_id, CASE WHEN n IS NULL OR n = 0 THEN '—' WHEN n / 1048576.0::DOUBLE >= 1 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.0f KB', n / 1024.0::DOUBLE) END AS size FROM (SELECT page_id, octet_length(encode(html)) AS n FROM pages)",
     }
     return q

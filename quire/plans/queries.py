@@ -87,7 +87,7 @@ def safe_names(spark, sf_dir):
 
 
 def file_sizes(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", X.human_size(F.octet_length("html").cast("bigint") * 100).alias("size"))
+    return _pages(spark, sf_dir).select("page_id", X.human_size(F.octet_length("html").cast("bigint")).alias("size"))
 
 
 # ---- layout ---------------------------------------------------------------------------
