@@ -169,16 +169,18 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _orders(survey: DataFrame) -> Orders:
+    """The driver gets two numbers for each of at most FREQUENT shingles, as Arrow arrays whatever the
+    session's settings are: a task has merged and cut them, and they never are rows of Python objects."""
     top = (
         survey.filter("not is_doc")
         .groupBy("token")
         .agg(F.sum("count").alias("count"))
         .orderBy(F.desc("count"), "token")
         .limit(FREQUENT)
-        .toPandas()
+        .toArrow()
     )
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
-    classes = np.clip(np.floor(2 * np.log2(np.maximum(top["count"].to_numpy(float), 2))), 1, 63).astype(np.uint64)
+    tokens = top["token"].to_numpy().view(np.uint64)
+    classes = np.clip(np.floor(2 * np.log2(np.maximum(top["count"].to_numpy(), 2))), 1, 63).astype(np.uint64)
     order = np.argsort(tokens)
     return Orders(tokens[order], classes[order])
 

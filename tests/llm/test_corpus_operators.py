@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,27 @@ def test_join_with_long_lists_few_frequent_tokens_and_no_broadcasts(spark, monke
         assert joined(spark, rows, jaccard.Rule(k, per_mille)) == brute_components([x[:2] for x in rows], k, per_mille)
 
 
+def test_frequent_shingles_reach_the_driver_as_arrays(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", most := 200_000)
+    n = 250_000  # each token in two rows; the counts of the first ones are the highest
+    survey = spark.range(2 * n).selectExpr(
+        "id % {0} * 3 - {0} as token".format(n), "if(id % {0} < 1000, 50L, 3L) as count".format(n), "false as is_doc"
+    )
+    tracemalloc.start()
+    try:
+        orders = jaccard._orders(survey)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    tokens = (np.arange(most) * 3 - n).view(np.uint64)
+    order = np.argsort(tokens)
+    assert (orders.frequent == tokens[order]).all()
+    assert (orders.classes == np.where(np.arange(most) < 1000, 13, 5)[order]).all()
+    assert peak < 100 * most  # rows of Python objects take over 250 bytes each
+    nothing = jaccard._orders(survey.filter("is_doc"))
+    assert len(nothing.frequent) == len(nothing.classes) == 0
+
+
 def test_join_of_nothing(spark):
     assert joined(spark, [], jaccard.Rule(3, 900)) == []
     assert joined(spark, [(1, None, 0)], jaccard.Rule(3, 900)) == [("1", 0, "1")]
